@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import secrets
+from xylem.llm import mixing, secrets, shards
 from xylem.llm.util import table
 
 
@@ -12,5 +12,13 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_secrets": op1_secrets}
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op4_mix": op4_mix, "op8_shards": op8_shards}
 SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
@@ -124,11 +124,48 @@ def runs(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(rise), np.flatnonzero(fall) + 1
 
 
-def n_rows(df: DataFrame) -> int:
-    return df.count()
+def lower(buf: np.ndarray) -> np.ndarray:
+    """A-Z to a-z."""
+    return _LOWER[buf]
 
 
-def unique_id(df: DataFrame, text: str) -> DataFrame:
-    """md5 of the text as two longs: a key of 128 bits for equal texts."""
-    h = F.md5(F.coalesce(F.col(text), F.lit("")))
-    return df.withColumn("_h", h)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the row of each."""
+    starts, ends = runs(~SPACE[buf], at)
+    return starts, ends, np.searchsorted(at, starts, "right") - 1
+
+
+def numbered(df: DataFrame, group: str | None, order: list[str], rank: str = "rank", size: str = "group_size") -> DataFrame:
+    """df with each row's place from 0 in its group (of all rows if None), by the columns of order, and the group's size.
+
+    Rows are ranged over partitions by (group, order), so a group of any size is spread; each partition numbers its own and
+    adds what the earlier ones hold. The result is a table in the shared folder. Equal rows go by their place in the input."""
+    keys = [*([group] if group else []), *order, "_tie"]
+    at = F.monotonically_increasing_id()
+    low = (1 << 33) - 1
+    sorted_ = df.withColumn("_tie", at).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+    kept = keep(sorted_.withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(low)), "numbered")
+    g = F.col(group) if group else F.lit(0)
+    parts = kept.groupBy(g.alias("_g"), F.col("_part").alias("_p")).agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+    parts = keep(parts, "parts")
+    earlier = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy("_g")))
+    joined = kept.withColumn("_k", g).join(parts, F.col("_k").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_at") - F.col("_from")).alias(rank), F.col("_all").alias(size))
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder with _rid, a number that tells its rows apart."""
+    return keep(df.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+
+
+def sources(rows: DataFrame, source: str, size: str, most: int) -> list[tuple[str | None, int, int]]:
+    """(source, sum of sizes, rows) by code point, null last. At most `most` sources come to the driver; more is an error."""
+    got = rows.groupBy(source).agg(F.sum(size).alias("s"), F.count("*").alias("n")).limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} sources")
+    return sorted(((r[0], int(r[1] or 0), int(r[2])) for r in got), key=lambda r: (r[0] is None, r[0] or ""))
