@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import mixing, secrets, shards
+from xylem.llm import decontam, mixing, neardup, quality, secrets, shards, urls, warc
 from xylem.llm.util import table
 
 
@@ -12,13 +12,33 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(table(spark, sf_dir, "pages"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op4_mix": op4_mix, "op8_shards": op8_shards}
-SQL: dict[str, str] = {}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(spark, table(spark, sf_dir, "pages"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_neardup, op3_quality, op4_mix, op7_urls, op8_shards, op9_warc, op10_decontam)}
+SQL: dict[str, str] = {"op7_urls": urls.SQL, "op9_warc": warc.SQL}
