@@ -94,8 +94,9 @@ def score(net: Net, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(top.astype(np.float64) @ net.out + net.shift)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = 3, epochs: int = 8, batch: int = 32, rate: float = 0.01) -> Net:
-    """Adam over the weighted log loss. Texts are used whole."""
+def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = 3, epochs: int = 8, least_steps: int = 300, batch: int = 32, rate: float = 0.01) -> Net:
+    """Adam over the weighted log loss, with more epochs where the texts are few. Texts are used whole."""
+    epochs = max(epochs, -(-least_steps // -(-len(texts) // batch)))
     net, rng = fresh(seed), np.random.default_rng(seed)
     params = [net.embed, net.filters, net.bias, net.out, np.zeros(1, np.float32)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import decontam, lm, mixing, neardup, quality, secrets, shards, urls, warc
+from xylem.llm import ann, decontam, lm, mixing, neardup, quality, secrets, shards, urls, warc
 from xylem.llm.util import table
 
 
@@ -28,6 +28,10 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.digest(table(spark, sf_dir, "pages"))
 
@@ -44,5 +48,5 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_neardup, op3_quality, op4_mix, op5_lm, op7_urls, op8_shards, op9_warc, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_neardup, op3_quality, op4_mix, op5_lm, op6_ann, op7_urls, op8_shards, op9_warc, op10_decontam)}
 SQL: dict[str, str] = {"op7_urls": urls.SQL, "op9_warc": warc.SQL}
