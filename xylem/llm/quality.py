@@ -133,16 +133,22 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int
     return net
 
 
-def sample(labelled: DataFrame, per_class: int, max_bytes: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """At most per_class rows of each label (least hash of id and text first), and at most about max_bytes of text of each: the
-    bound on what comes to the driver. Weights restore the labels' true shares, and so the scale of the score."""
-    rows = keep(labelled.select(F.col("_text"), F.col("_label"), F.xxhash64("_id", "_text").alias("_h"), F.octet_length("_text").alias("_n")), "labelled")
+def sample(docs: DataFrame, key: DataFrame, per_class: int, max_bytes: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts, labels and weights of at most per_class rows of each label and about max_bytes of their texts.
+
+    The ids of least hash are chosen from the labels alone, twice as many as needed (some may have no document); so few are
+    broadcast, and no text is shuffled. Weights restore the labels' true shares, and so the scale of the score."""
+    spark = docs.sparkSession
+    key = keep(key, "labels")
+    total = {r[0]: r[1] for r in key.groupBy("_label").count().collect()}
+    ids = [r for label in (0, 1) for r in key.filter(F.col("_label") == label).orderBy(F.xxhash64("_key"), "_key").limit(2 * per_class).collect()]
+    chosen = F.broadcast(spark.createDataFrame(ids, key.schema))  # 4 * per_class rows at most
+    rows = docs.join(chosen, F.col("_id") == F.col("_key")).select("_text", "_label", F.xxhash64("_id", "_text").alias("_h"), F.octet_length("_text").alias("_n"))
+    rows = keep(rows, "sample")
     texts, labels, weights = [], [], []
-    total = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
     for label in (0, 1):
         heads = rows.filter(F.col("_label") == label).select("_h", "_n").orderBy("_h").limit(per_class).collect()
-        held = np.cumsum([r[1] for r in heads])
-        some = int(np.searchsorted(held, max_bytes, "right"))
+        some = int(np.searchsorted(np.cumsum([r[1] for r in heads]), max_bytes, "right"))
         if not some:
             continue
         got = rows.filter((F.col("_label") == label) & (F.col("_h") <= heads[some - 1][0])).orderBy("_h").limit(some).select("_text").collect()
@@ -163,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if folds:
         rows = rows.filter(remainder("_id", folds) != 0)
         key = key.filter(remainder("_key", folds) != 0)
-    texts, y, w = sample(rows.join(key, F.col("_id") == F.col("_key")), per_class, max_bytes)
+    texts, y, w = sample(rows, key, per_class, max_bytes)
     return train(texts, y, w, seed) if len(texts) else fresh(seed)
 
 
