@@ -90,7 +90,8 @@ def pooled(net: Net, buf: np.ndarray, at: np.ndarray, track: bool = False) -> tu
 
 def score(net: Net, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Probability that each row has label 1; an empty row is one chunk of padding."""
-    top, _ = pooled(net, buf, at)
+    tops = [pooled(net, buf[at[a] : at[b]], at[a : b + 1] - at[a])[0] for a, b in pieces(at, 1 << 20)]
+    top = np.concatenate(tops) if tops else np.zeros((0, len(net.out)), np.float32)
     return 1 / (1 + np.exp(-(top.astype(np.float64) @ net.out + net.shift)))
 
 
