@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from xylem.functions import scalars as S
-from xylem.plans.lift import KEY, NODE, SCALAR, Frame, Unsupported, Val, compile_, fresh, frame, gather, matches, node_set, to_bool, to_num, to_str
+from xylem.plans.lift import KEY, NODE, SCALAR, SEQUENCE, Frame, Unsupported, Val, compile_, fresh, frame, gather, matches, node_set, numbers, sequence, texts, to_bool, to_num, to_str
 from xylem.plans.xpath import XPathError
 
 ANY = 99
@@ -18,7 +18,7 @@ ARITY = {
 }
 ARITY_2 = {
     "matches": (2, 3), "replace": (3, 4), "upper-case": (1, 1), "lower-case": (1, 1), "ends-with": (2, 2), "abs": (1, 1), "min": (1, 1), "max": (1, 1), "avg": (1, 1),
-    "exists": (1, 1), "empty": (1, 1), "string-join": (2, 2),
+    "exists": (1, 1), "empty": (1, 1), "string-join": (2, 2), "tokenize": (2, 3), "distinct-values": (1, 1), "index-of": (2, 2),
 }
 
 
@@ -60,6 +60,15 @@ def call(name: str, args: list, f: Frame) -> Val:
     here = v[0] if v else Val("one", prefix="c_")
     text = lambda i: to_str(v[i], f)
     num = lambda i: to_num(v[i], f)
+    if name == "tokenize":
+        return Val("qs", F.split(text(0), S.regex(literal(args[1], "a pattern"), literal(args[2], "flags") if len(v) > 2 else ""), -1))
+    if name == "distinct-values":
+        return Val("qs", F.array_distinct(texts(sequence(here, f))))
+    if name == "index-of":
+        items, want = texts(sequence(here, f)), text(1)
+        return Val("qn", F.filter(F.transform(items, lambda x, i: F.when(x == want, (i + 1).cast("double"))), lambda x: x.isNotNull()))
+    if here.kind in SEQUENCE and name in ("count", "exists", "empty", "sum", "min", "max", "avg", "string-join"):
+        return over_sequence(name, here, v, f)
     if name in ("count", "exists", "empty"):
         if here.kind in SCALAR:
             if not f.env.two:
@@ -85,9 +94,9 @@ def call(name: str, args: list, f: Frame) -> Val:
         bad = F.max(F.isnan(x))
         return Val("n", gather(here, f, S.NAN, F.when(bad, S.nan()).otherwise({"min": F.min, "max": F.max, "avg": F.avg}[name](x))))
     if name == "local-name":
-        return Val("s", first(name_of(here), f, "local") if here.kind != "attr" else attr_name(here, f, True))
+        return Val("s", first(here, f, "local") if here.kind != "attr" else attr_name(here, f, True))
     if name == "namespace-uri":
-        return Val("s", first(name_of(here), f, "uri") if here.kind != "attr" else first(Val("ns", df=node_set(here, f), depth=f.depth), f, "uri"))
+        return Val("s", first(here, f, "uri") if here.kind != "attr" else first(Val("ns", df=node_set(here, f), depth=f.depth), f, "uri"))
     if name == "name":
         if here.kind == "attr":
             return Val("s", attr_name(here, f, False))
@@ -142,8 +151,20 @@ def call(name: str, args: list, f: Frame) -> Val:
     raise Unsupported(f"{name}() is not supported")
 
 
-def name_of(v: Val) -> Val:
-    return v
+def over_sequence(name: str, here: Val, v: list[Val], f: Frame) -> Val:
+    n, x = F.size(here.col), numbers(here)
+    if name == "string-join":
+        return Val("s", F.concat_ws("", F.transform(texts(here), lambda t, i: F.when(i == 0, t).otherwise(F.concat(to_str(v[1], f), t)))))
+    if name in ("exists", "empty"):
+        return Val("b", n > 0 if name == "exists" else n == 0)
+    if name == "count":
+        return Val("n", n.cast("double"))
+    total = F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+    if name == "sum":
+        return Val("n", total)
+    bad = (n == 0) | F.exists(x, F.isnan)
+    value = {"min": F.array_min(x), "max": F.array_max(x), "avg": total / F.when(n == 0, 1).otherwise(n)}[name]
+    return Val("n", F.when(bad, S.nan()).otherwise(value))
 
 
 def attr_name(v: Val, f: Frame, local: bool) -> Column:

@@ -20,6 +20,7 @@ from xylem.plans.xpath import REVERSE, XPathError, numeric, uses
 NODE = ["pre", "end", "parent", "kind", "prefix", "local", "uri", "value", "child_ix", "attrs", "loc", "lang"]
 KEY = ["doc_id", "it"]
 SCALAR = {"b", "n", "s"}
+SEQUENCE = {"qn", "qs"}
 _count = itertools.count()
 
 
@@ -33,7 +34,8 @@ class Unsupported(XPathError):
 
 @dataclass
 class Val:
-    """kind: b, n, s (column), ns (df), one (a node in columns prefix + NODE, where present), attr (an attribute's value or null).
+    """kind: b, n, s (column), ns (df), one (a node in columns prefix + NODE, where present), attr (an attribute's value or null),
+    qn and qs (sequences: columns of arrays of numbers and of texts).
 
     depth: for ns, how much of a deeper frame's `it` keys it; -1: the document alone."""
 
@@ -196,6 +198,9 @@ def to_bool(v: Val, f: Frame) -> Column:
         return v.col != ""
     if v.kind == "attr":
         return v.col.isNotNull()
+    if v.kind in SEQUENCE:
+        only = item(v)
+        return F.when(F.size(v.col) == 1, S.number_true(only) if v.kind == "qn" else only != "").otherwise(F.size(v.col) > 0)
     if v.kind == "one":
         return F.lit(True) if v.col is None else v.col
     return gather(v, f, False, F.max(F.lit(True)))
@@ -210,15 +215,65 @@ def to_str(v: Val, f: Frame) -> Column:
         return S.format_number(v.col)
     if v.kind == "attr":
         return F.coalesce(v.col, F.lit(""))
+    if v.kind in SEQUENCE:
+        return F.when(F.size(v.col) == 0, "").otherwise(item(v) if v.kind == "qs" else S.format_number(item(v)))
     if v.kind == "one":
         text = F.col(f"{v.prefix}value")
         return text if v.col is None else F.when(v.col, text).otherwise("")
     return gather(v, f, "", F.min_by("c_value", "c_pre"))
 
 
+def item(v: Val) -> Column:
+    """The first item, or an empty text or NaN."""
+    return F.coalesce(F.try_element_at(v.col, F.lit(1)), F.lit(S.NAN if v.kind == "qn" else ""))
+
+
+def sequence(v: Val, f: Frame) -> Val:
+    """Any value as a sequence of numbers or texts, nodes in document order."""
+    if v.kind in SEQUENCE:
+        return v
+    if v.kind == "n":
+        return Val("qn", F.array(v.col))
+    if v.kind in SCALAR:
+        return Val("qs", F.array(to_str(v, f)))
+    if v.kind in ("one", "attr"):
+        return Val("qs", F.when(to_bool(v, f), F.array(to_str(v, f))).otherwise(F.array().cast("array<string>")))
+    name = fresh("q")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("c_pre", "c_value"))), lambda p: p["c_value"])
+    f.attach(node_set(v, f).groupBy(*KEY).agg(items.alias(name)))
+    return Val("qs", F.coalesce(F.col(name), F.array().cast("array<string>")))
+
+
+def texts(v: Val) -> Column:
+    return v.col if v.kind == "qs" else F.transform(v.col, S.format_number)
+
+
+def numbers(v: Val) -> Column:
+    return v.col if v.kind == "qn" else F.transform(v.col, S.parse_number)
+
+
+def inside(v: Val, f: Frame, name: str, body: tuple, use) -> Column:
+    """A function of array elements whose body is compiled with the element as a variable; it may not need joins."""
+    was = f.df
+
+    def each(x: Column) -> Column:
+        out = use(compile_(body, replace_vars(f, {name: Val("n" if v.kind == "qn" else "s", x)})))
+        if f.df is not was:
+            raise Unsupported("a body over a sequence may not look at other nodes")
+        return out
+
+    return each
+
+
+def replace_vars(f: Frame, more: dict[str, Val]) -> Frame:
+    return Frame(f.df, f.depth, f.env, f.vars | more)
+
+
 def to_num(v: Val, f: Frame) -> Column:
     if v.kind == "n":
         return v.col
+    if v.kind == "qn":
+        return item(v)
     if v.kind == "b":
         return F.when(v.col, 1.0).otherwise(0.0)
     return S.parse_number(to_str(v, f))
@@ -287,15 +342,59 @@ def two(e: tuple, f: Frame) -> Val:
         if e[2] == "xs:boolean":
             return Val("b", F.when(ok, F.trim(text).isin("true", "1")).otherwise(bad.cast("boolean")))
         return Val("s", F.when(ok, text).otherwise(bad.cast("string")))
-    if kind == "seq" and not e[1]:
-        return Val("ns", df=take(f, "c_", F.lit(False)), depth=f.depth)
+    if kind == "seq":
+        if not e[1]:
+            return Val("qs", F.array().cast("array<string>"))
+        parts = [sequence(compile_(x, f), f) for x in e[1]]
+        if all(p.kind == "qn" for p in parts):
+            return Val("qn", F.concat(*[p.col for p in parts]))
+        return Val("qs", F.concat(*[texts(p) for p in parts]))
+    if kind == "range":
+        a, b = (to_num(compile_(x, f), f) for x in e[1:])
+        bad = F.isnan(a) | F.isnan(b) | (b - a >= 1_000_000)
+        low, high = (F.when(bad | (a > b), 0.0).otherwise(x).cast("long") for x in (a, b))
+        whole = F.when(bad, F.raise_error(F.lit("a range needs bounds, and at most 1000000 items")).cast("array<double>")).when(a > b, F.array().cast("array<double>"))
+        return Val("qn", whole.otherwise(F.transform(F.sequence(low, high), lambda x: x.cast("double"))))
+    if kind == "for":
+        return loop(e[1], e[2], f)
     raise Unsupported(f"{kind} is not supported here")
 
 
+def loop(binds: list, body: tuple, f: Frame) -> Val:
+    """for: the body's values in the items' order."""
+    (name, source), rest = binds[0], binds[1:]
+    inner = ("for", rest, body) if rest else body
+    v = compile_(source, f)
+    if v.kind in SCALAR | SEQUENCE:
+        v = sequence(v, f)
+        kinds: list[str] = []
+
+        def use(x: Val) -> Column:
+            x = sequence(x, f)
+            kinds.append(x.kind)
+            return x.col
+
+        out = F.flatten(F.transform(v.col, inside(v, f, name, inner, use)))
+        return Val(kinds[-1], out)
+    prefix = fresh("i") + "_"
+    items = node_set(v, f).select(*KEY, *[F.col(f"c_{c}").alias(f"{prefix}{c}") for c in NODE])
+    g = Frame(f.df.join(items, KEY).withColumn("it", F.concat("it", F.array(F.col(f"{prefix}pre")))), f.depth + 1, f.env, f.vars | {name: Val("one", prefix=prefix)})
+    got = sequence(compile_(inner, g), g)
+    out = fresh("l")
+    all_ = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(f"{prefix}pre").alias("p"), F.col("_got").alias("x")))), lambda r: r["x"]))
+    f.attach(g.df.withColumn("_got", got.col).withColumn("it", F.slice("it", 1, f.depth)).groupBy(*KEY).agg(all_.alias(out)))
+    return Val(got.kind, F.coalesce(F.col(out), F.array().cast("array<double>" if got.kind == "qn" else "array<string>")))
+
+
 def quantified(kind: str, binds: list, body: tuple, f: Frame) -> Val:
     (name, source), rest = binds[0], binds[1:]
+    v = compile_(source, f)
+    if v.kind in SCALAR | SEQUENCE:
+        v = sequence(v, f)
+        each = inside(v, f, name, (kind, rest, body) if rest else body, lambda x: to_bool(x, f))
+        return Val("b", F.exists(v.col, each) if kind == "some" else F.forall(v.col, each))
     prefix = fresh("i") + "_"
-    items = node_set(compile_(source, f), f).select(*KEY, *[F.col(f"c_{c}").alias(f"{prefix}{c}") for c in NODE])
+    items = node_set(v, f).select(*KEY, *[F.col(f"c_{c}").alias(f"{prefix}{c}") for c in NODE])
     inner = f.df.join(items, KEY).withColumn("it", F.concat("it", F.array(F.col(f"{prefix}pre"))))
     g = Frame(inner, f.depth + 1, f.env, f.vars | {name: Val("one", prefix=prefix)})
     ok = to_bool(quantified(kind, rest, body, g) if rest else compile_(body, g), g)
@@ -351,7 +450,7 @@ def operator(op: str, left: tuple, right: tuple, f: Frame) -> Val:
             return Val("b", S.compare(VALUE[op], to_num(a, f), to_num(b, f)))
         x, y = to_str(a, f), to_str(b, f)
         return Val("b", {"eq": x == y, "ne": x != y, "lt": x < y, "le": x <= y, "gt": x > y, "ge": x >= y}[op])
-    nodes = {"ns", "one", "attr"}
+    nodes = {"ns", "one", "attr", *SEQUENCE}
     if op in ("=", "!="):
         return Val("b", equality(op, a, b, f))
     if a.kind not in nodes and b.kind not in nodes:
@@ -367,6 +466,9 @@ def extreme(v: Val, f: Frame, agg) -> Column:
     """The least or largest number of a node-set without its NaNs (NaN if there is none)."""
     if v.kind in SCALAR:
         return to_num(v, f)
+    if v.kind in SEQUENCE:
+        some = F.filter(numbers(v), lambda x: ~F.isnan(x))
+        return F.coalesce((F.array_min if agg is F.min else F.array_max)(some), S.nan())
     if v.kind in ("one", "attr"):
         text = to_str(v, f)
         return S.parse_number(text)
@@ -375,6 +477,12 @@ def extreme(v: Val, f: Frame, agg) -> Column:
 
 
 def equality(op: str, a: Val, b: Val, f: Frame) -> Column:
+    if SEQUENCE & {a.kind, b.kind}:
+        a, b = sequence(a, f), sequence(b, f)
+        if a.kind == b.kind == "qn":
+            return F.exists(a.col, lambda x: F.exists(b.col, lambda y: S.compare(op, x, y)))
+        one, two_ = texts(a), texts(b)
+        return F.exists(one, lambda x: F.exists(two_, (lambda y: x == y) if op == "=" else (lambda y: x != y)))
     if b.kind == "ns" and a.kind != "ns" or b.kind in ("one", "attr") and a.kind in SCALAR:
         a, b = b, a
     if a.kind in SCALAR:
