@@ -12,6 +12,11 @@ TIME = r"([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?"
 ZONE = r"(Z|[+-](0\d|1[0-4]):[0-5]\d)?"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: as a lambda's argument it isn't copied into each of its uses."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def nan() -> Column:
     return F.lit(NAN)
 
@@ -24,6 +29,10 @@ def parse_number(s: Column) -> Column:
 
 def format_number(x: Column) -> Column:
     """Whole numbers below 1e21 without a point; otherwise the shortest digits, never with an exponent."""
+    return let(x, _format)
+
+
+def _format(x: Column) -> Column:
     whole = (x == F.floor(x)) & (F.abs(x) < 1e18)
     raw = x.cast("string")
     sign = F.when(x < 0, "-").otherwise("")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,18 +59,23 @@ def prepare(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("doc_id").persist()
 
 
-def validate(docs: DataFrame, schema: Schema, phase: str | None = None, id_col: str = "doc_id", xml_col: str = "xml", max_failures: int | None = None) -> Report:
-    """Shreds the documents and validates them. Documents that can't be parsed are rows of errors and have no findings."""
+def validate(docs: DataFrame, schema: Schema, phase: str | None = None, id_col: str = "doc_id", xml_col: str = "xml", max_failures: int | None = None, now: float | None = None, timezone: int = 0) -> Report:
+    """Shreds the documents and validates them. Documents that can't be parsed are rows of errors and have no findings.
+
+    now: the run's instant (seconds from 1970, UTC; the present if None); timezone: minutes, for times without an offset."""
     spaces = any("namespace::" in source for source in schema.trees)
-    return validate_nodes(prepare(shred_nodes(docs, id_col, xml_col, spaces)), schema, phase, max_failures)
+    return validate_nodes(prepare(shred_nodes(docs, id_col, xml_col, spaces)), schema, phase, max_failures, now, timezone)
 
 
-def validate_nodes(nodes: DataFrame, schema: Schema, phase: str | None = None, max_failures: int | None = None) -> Report:
+def validate_nodes(nodes: DataFrame, schema: Schema, phase: str | None = None, max_failures: int | None = None, now: float | None = None, timezone: int = 0) -> Report:
     errors = nodes.filter("kind = 'error'").select("doc_id", F.col("pre").alias("line"), F.col("end").alias("column"), F.col("value").alias("message"))
     chosen, phase_lets, name = active(schema, phase)
-    env = Env(nodes.filter("kind <> 'error'"), schema.namespaces, {k.name: [(schema.trees[k.match], schema.trees[k.use])] for k in schema.keys}, schema.binding == 2)
+    env = Env(nodes.filter("kind <> 'error'"), schema.namespaces, {k.name: [(schema.trees[k.match], schema.trees[k.use])] for k in schema.keys}, schema.binding == 2, time.time() if now is None else now, timezone)
     kind = nodes.schema["doc_id"].dataType.simpleString()
     spark = nodes.sparkSession
+    if any(mark in source for source in schema.trees for mark in ("xs:", "-from-", " to ", "current-")):
+        # such expressions may raise, and shared subexpressions are computed even for nodes that the context leaves out
+        spark.conf.set("spark.sql.subexpressionElimination.enabled", "false")
     fired, found = spark.createDataFrame([], FIRED.format(id=kind)), spark.createDataFrame([], FINDING.format(id=kind))
     top = schema.lets + phase_lets
     for ix in chosen:

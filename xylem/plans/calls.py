@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from xylem.functions import scalars as S
+from xylem.functions import temporal as T
 from xylem.plans.lift import KEY, NODE, SCALAR, SEQUENCE, Frame, Unsupported, Val, compile_, fresh, frame, gather, matches, node_set, numbers, sequence, texts, to_bool, to_num, to_str
 from xylem.plans.xpath import XPathError
 
@@ -20,6 +21,12 @@ ARITY_2 = {
     "matches": (2, 3), "replace": (3, 4), "upper-case": (1, 1), "lower-case": (1, 1), "ends-with": (2, 2), "abs": (1, 1), "min": (1, 1), "max": (1, 1), "avg": (1, 1),
     "exists": (1, 1), "empty": (1, 1), "string-join": (2, 2), "tokenize": (2, 3), "distinct-values": (1, 1), "index-of": (2, 2),
 }
+PARTS = {f"{p}-from-{t}": (p, t) for t, ps in (("date", ("year", "month", "day")), ("dateTime", ("year", "month", "day", "hours", "minutes", "seconds")), ("time", ("hours", "minutes", "seconds"))) for p in ps}
+ZONES = {f"timezone-from-{t}": t for t in ("date", "dateTime", "time")}
+SPANS = {f"{p}-from-duration": p for p in ("years", "months", "days", "hours", "minutes", "seconds")}
+NOW = {"current-date": "date", "current-dateTime": "dateTime", "current-time": "time"}
+MAKE = {f"xs:{t}": t for t in ("date", "dateTime", "time", "dayTimeDuration", "yearMonthDuration")}
+ARITY_2 |= {k: (1, 1) for k in (*PARTS, *ZONES, *SPANS, *MAKE)} | {k: (0, 0) for k in (*NOW, "implicit-timezone")}
 
 
 def check(name: str, n: int, two: bool) -> None:
@@ -60,6 +67,25 @@ def call(name: str, args: list, f: Frame) -> Val:
     here = v[0] if v else Val("one", prefix="c_")
     text = lambda i: to_str(v[i], f)
     num = lambda i: to_num(v[i], f)
+    if name in NOW:
+        if f.env.now is None:
+            raise XPathError(f"{name}() needs the run's clock")
+        return Val("t", T.write(F.lit(float(f.env.now)), NOW[name], F.lit("Z")), name=NOW[name])
+    if name == "implicit-timezone":
+        return Val("u", F.lit(f.env.implicit * 60.0), name="dayTimeDuration")
+    if name in MAKE:
+        kind = MAKE[name]
+        return Val("u", T.duration(text(0), kind), name=kind) if kind.endswith("Duration") else Val("t", T.checked(text(0), kind), name=kind)
+    if name in PARTS:
+        return Val("n", T.part(T.checked(text(0), PARTS[name][1]), PARTS[name][1], PARTS[name][0]))
+    if name in ZONES:
+        off = T.offset(T.checked(text(0), ZONES[name]))
+        return Val("qs", F.when(off.isNull(), F.array().cast("array<string>")).otherwise(F.array(T.write_duration(off * 60.0, "dayTimeDuration"))))
+    if name in SPANS:
+        kind = "yearMonthDuration" if SPANS[name] in ("years", "months") else "dayTimeDuration"
+        if here.kind == "u" and here.name != kind:
+            return Val("n", F.lit(0.0))
+        return Val("n", T.duration_part(here.col if here.kind == "u" else T.duration(text(0), kind), SPANS[name]))
     if name == "tokenize":
         return Val("qs", F.split(text(0), S.regex(literal(args[1], "a pattern"), literal(args[2], "flags") if len(v) > 2 else ""), -1))
     if name == "distinct-values":

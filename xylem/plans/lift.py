@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xylem.functions import scalars as S
+from xylem.functions import temporal as T
 from xylem.plans.xpath import REVERSE, XPathError, numeric, uses
 
 NODE = ["pre", "end", "parent", "kind", "prefix", "local", "uri", "value", "child_ix", "attrs", "loc", "lang"]
 KEY = ["doc_id", "it"]
 SCALAR = {"b", "n", "s"}
 SEQUENCE = {"qn", "qs"}
+TEMPORAL = {"t", "u"}
 _count = itertools.count()
 
 
@@ -35,7 +37,8 @@ class Unsupported(XPathError):
 @dataclass
 class Val:
     """kind: b, n, s (column), ns (df), one (a node in columns prefix + NODE, where present), attr (an attribute's value or null),
-    qn and qs (sequences: columns of arrays of numbers and of texts).
+    qn and qs (sequences: columns of arrays of numbers and of texts), t (a date or time: its text) and u (a duration: seconds
+    or months), both with the type's local name in name.
 
     depth: for ns, how much of a deeper frame's `it` keys it; -1: the document alone."""
 
@@ -71,6 +74,8 @@ class Env:
     namespaces: dict[str, str] = field(default_factory=dict)
     keys: dict[str, list] = field(default_factory=dict)
     two: bool = False
+    now: float | None = None
+    implicit: int = 0
     built: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, cond: Column | None = None) -> DataFrame:
@@ -198,6 +203,8 @@ def to_bool(v: Val, f: Frame) -> Column:
         return v.col != ""
     if v.kind == "attr":
         return v.col.isNotNull()
+    if v.kind in TEMPORAL:
+        return F.lit(True)
     if v.kind in SEQUENCE:
         only = item(v)
         return F.when(F.size(v.col) == 1, S.number_true(only) if v.kind == "qn" else only != "").otherwise(F.size(v.col) > 0)
@@ -215,6 +222,8 @@ def to_str(v: Val, f: Frame) -> Column:
         return S.format_number(v.col)
     if v.kind == "attr":
         return F.coalesce(v.col, F.lit(""))
+    if v.kind in TEMPORAL:
+        return v.col if v.kind == "t" else T.write_duration(v.col, v.name)
     if v.kind in SEQUENCE:
         return F.when(F.size(v.col) == 0, "").otherwise(item(v) if v.kind == "qs" else S.format_number(item(v)))
     if v.kind == "one":
@@ -234,7 +243,7 @@ def sequence(v: Val, f: Frame) -> Val:
         return v
     if v.kind == "n":
         return Val("qn", F.array(v.col))
-    if v.kind in SCALAR:
+    if v.kind in SCALAR | TEMPORAL:
         return Val("qs", F.array(to_str(v, f)))
     if v.kind in ("one", "attr"):
         return Val("qs", F.when(to_bool(v, f), F.array(to_str(v, f))).otherwise(F.array().cast("array<string>")))
@@ -274,6 +283,8 @@ def to_num(v: Val, f: Frame) -> Column:
         return v.col
     if v.kind == "qn":
         return item(v)
+    if v.kind in TEMPORAL:
+        return S.nan()
     if v.kind == "b":
         return F.when(v.col, 1.0).otherwise(0.0)
     return S.parse_number(to_str(v, f))
@@ -341,6 +352,10 @@ def two(e: tuple, f: Frame) -> Val:
             return Val("n", F.when(ok, F.trim(text).try_cast("double")).otherwise(bad.cast("double")))
         if e[2] == "xs:boolean":
             return Val("b", F.when(ok, F.trim(text).isin("true", "1")).otherwise(bad.cast("boolean")))
+        if e[2] in ("xs:date", "xs:dateTime", "xs:time"):
+            return Val("t", T.checked(text, e[2][3:]), name=e[2][3:])
+        if e[2] in ("xs:dayTimeDuration", "xs:yearMonthDuration"):
+            return Val("u", T.duration(text, e[2][3:]), name=e[2][3:])
         return Val("s", F.when(ok, text).otherwise(bad.cast("string")))
     if kind == "seq":
         if not e[1]:
@@ -357,9 +372,55 @@ def two(e: tuple, f: Frame) -> Val:
         return Val("qn", whole.otherwise(F.transform(F.sequence(low, high), lambda x: x.cast("double"))))
     if kind == "for":
         return loop(e[1], e[2], f)
+    if kind in ("instance", "treat"):
+        v = compile_(e[1], f)
+        ok = instance(v, e[2], e[3], f)
+        if kind == "instance":
+            return Val("b", ok)
+        bad = F.raise_error(F.lit(f"the value is no {e[2]}{e[3]}"))
+        if v.kind == "ns":
+            return Val("ns", df=node_set(v, f).join(f.df.filter(F.when(ok, True).otherwise(bad.cast("boolean"))).select(*KEY), KEY, "left_semi"), depth=f.depth)
+        if v.col is None or v.kind in ("one", "attr"):
+            return v
+        return replace(v, col=F.when(ok, v.col).otherwise(bad))
     raise Unsupported(f"{kind} is not supported here")
 
 
+NODE_TYPES = {"node()": None, "element()": "element", "attribute()": "attribute", "text()": "text", "comment()": "comment", "processing-instruction()": "processing-instruction", "document-node()": "root"}
+
+
+def instance(v: Val, kind: str, mark: str, f: Frame) -> Column:
+    """Whether a value has a sequence type, by its kind and its number of items."""
+    if v.kind in SEQUENCE:
+        n = F.size(v.col).cast("double")
+    elif v.kind in ("one", "attr"):
+        n = F.when(to_bool(v, f), 1.0).otherwise(0.0)
+    elif v.kind == "ns":
+        n = gather(v, f, 0, F.count("*")).cast("double")
+    else:
+        n = F.lit(1.0)
+    many = {"": n == 1, "?": n <= 1, "+": n >= 1, "*": F.lit(True)}[mark]
+    nodes_ = v.kind in ("one", "attr", "ns")
+    if kind == "item()":
+        return many
+    if kind in NODE_TYPES:
+        if not nodes_:
+            return many & (n == 0)
+        if NODE_TYPES[kind] is None:
+            return many
+        if v.kind == "attr":
+            return many & ((n == 0) | F.lit(kind == "attribute()"))
+        if v.kind == "one":
+            return many & ((n == 0) | (F.col(f"{v.prefix}kind") == NODE_TYPES[kind]))
+        return many & ~gather(v, f, False, F.max(F.col("c_kind") != NODE_TYPES[kind]))
+    if nodes_:
+        return many & (n == 0)
+    own = {"b": {"boolean"}, "s": {"string"}, "qs": {"string"}, "n": {"double", "float", "decimal"}, "qn": {"double", "float", "decimal"}, "t": {v.name}, "u": {v.name, "duration"}}[v.kind] | {"anyAtomicType"}
+    if kind[3:] in ("integer", "int", "long", "short", "byte") and v.kind in ("n", "qn"):
+        return many & (F.forall(v.col, lambda x: x == F.floor(x)) if v.kind == "qn" else v.col == F.floor(v.col))
+    return many & ((n == 0) | F.lit(kind[3:] in own))
+
+
 def loop(binds: list, body: tuple, f: Frame) -> Val:
     """for: the body's values in the items' order."""
     (name, source), rest = binds[0], binds[1:]
@@ -438,6 +499,8 @@ def operator(op: str, left: tuple, right: tuple, f: Frame) -> Val:
         a, b = to_bool(compile_(left, f), f), to_bool(compile_(right, f), f)
         return Val("b", F.when(a, b).otherwise(False) if op == "and" else F.when(a, True).otherwise(b))
     a, b = compile_(left, f), compile_(right, f)
+    if TEMPORAL & {a.kind, b.kind}:
+        return temporal(op, a, b, f)
     if op in ("+", "-", "*", "div", "mod"):
         return Val("n", S.arithmetic(op, to_num(a, f), to_num(b, f)))
     if op in ("is", "<<", ">>"):
@@ -462,6 +525,46 @@ def operator(op: str, left: tuple, right: tuple, f: Frame) -> Val:
     return Val("b", S.compare(op, least(a), most(b)) if op in ("<", "<=") else S.compare(op, most(a), least(b)))
 
 
+def instant(v: Val, kind: str, f: Frame) -> Column:
+    return T.seconds(v.col if v.kind == "t" else T.checked(to_str(v, f), kind), v.name if v.kind == "t" else kind, f.env.implicit)
+
+
+def temporal(op: str, a: Val, b: Val, f: Frame) -> Val:
+    """Comparisons of instants and of durations, and their arithmetic; other operands are read as the same type."""
+    sign = VALUE.get(op, op)
+    if sign in ("=", "!=", *FLIP):
+        if "t" in (a.kind, b.kind):
+            if "u" in (a.kind, b.kind):
+                raise XPathError("a date and a duration can't be compared")
+            kind = a.name if a.kind == "t" else b.name
+            return Val("b", S.compare(sign, instant(a, kind, f), instant(b, kind, f)))
+        kind = a.name if a.kind == "u" else b.name
+        x, y = (v.col if v.kind == "u" else T.duration(to_str(v, f), kind) for v in (a, b))
+        if a.kind == b.kind == "u" and a.name != b.name:
+            raise XPathError("durations of different types can't be compared")
+        return Val("b", S.compare(sign, x, y))
+    if op == "+" and a.kind == "u" and b.kind == "t":
+        a, b = b, a
+    if a.kind == b.kind == "t" and op == "-" and a.name == b.name:
+        zoned = f.env.implicit if a.name != "date" else 0
+        return Val("u", T.seconds(a.col, a.name, zoned) - T.seconds(b.col, b.name, zoned), name="dayTimeDuration")
+    if a.kind == "t" and b.kind == "u" and op in "+-" and not (a.name == "time" and b.name == "yearMonthDuration"):
+        amount = b.col if op == "+" else -b.col
+        add = T.add_seconds if b.name == "dayTimeDuration" else T.add_months
+        return Val("t", add(a.col, a.name, amount), name=a.name)
+    if a.kind == b.kind == "u" and a.name == b.name and op in ("+", "-", "div"):
+        value = S.arithmetic(op, a.col, b.col)
+        return Val("n", value) if op == "div" else Val("u", value, name=a.name)
+    if op == "*" and b.kind == "u" and a.kind != "u":
+        a, b = b, a
+    if op in ("*", "div") and a.kind == "u" and b.kind not in TEMPORAL:
+        value = S.arithmetic(op, a.col, to_num(b, f))
+        if a.name == "yearMonthDuration":
+            value = F.when(value < 0, -S.floor(-value + 0.5)).otherwise(S.floor(value + 0.5))
+        return Val("u", value, name=a.name)
+    raise XPathError(f"{op} isn't defined for these dates and durations")
+
+
 def extreme(v: Val, f: Frame, agg) -> Column:
     """The least or largest number of a node-set without its NaNs (NaN if there is none)."""
     if v.kind in SCALAR:
