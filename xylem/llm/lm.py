@@ -245,7 +245,7 @@ def open_block(data: pa.Scalar, order: int) -> tuple[pa.Table, Grams, np.ndarray
     return rows, tokens(*utf8(rows.column(1)), order), ~rows.column(2).to_numpy().astype(bool)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, mass: tuple[float, ...] = (1000.0,), block_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, mass: tuple[float, ...] = (1000.0,), block_bytes: int = 4 << 20) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     mass: the weight of the lower order, for orders 2 and up; its length sets the automaton's order. Rows whose id's crc32 is
