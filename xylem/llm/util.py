@@ -31,7 +31,7 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
     """df, computed once, written to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
