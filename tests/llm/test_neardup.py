@@ -74,6 +74,19 @@ def test_plan_climbs():
     assert capped.depth < deep.depth and capped.trees <= 16
 
 
+def test_forest_recall_at_the_accepted_distance():
+    rng = np.random.default_rng(7)
+    bits = rng.integers(0, 2, (3000, 128), dtype=np.uint8)
+    far = bits.copy()
+    for row in far:
+        row[rng.permutation(128)[:28]] ^= 1
+    one, two = (np.packbits(b, axis=1).view(np.int64) for b in (bits, far))
+    for count in (10_000, 200_000, 12_000_000):
+        forest = nd.plan(count)
+        assert forest.trees <= 128 and (forest.keys(one) == forest.keys(two)).any(axis=1).mean() > 0.98
+    assert nd.plan(10**6, near=0).trees == 1 and nd.plan(10**6, near=120).depth < 5
+
+
 def test_edges(spark):
     rows = [(1, None, 5), (2, "", 5), (3, "a b", 5), (3, "a b", 5), (None, "A  B", 5), (4, "q " * 100_000, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, class_id int")

@@ -3,7 +3,8 @@
 A text has two SimHash codes of 128 bits: of its distinct words, which the forest searches, and of its distinct word pairs,
 which verifies. Each tree of the forest is a trie over the words' code with its bits in another random order. How deep a
 prefix must agree follows from the number of codes (leaves of about `leaf` codes); trees are added until a pair at the
-distance `design` is found with probability `recall`, and beyond max_trees the search climbs to shorter prefixes instead.
+farthest accepted distance, `near`, is found with probability `recall`, and beyond max_trees the search climbs to shorter
+prefixes instead.
 """
 
 from __future__ import annotations
@@ -95,11 +96,14 @@ class Forest:
         return np.packbits(out, axis=1).view("<u8")
 
 
-def plan(count: int, leaf: int = 512, design: float = 0.1875, recall: float = 0.99, max_trees: int = 128, seed: int = 5) -> Forest:
-    """Depth by density, then trees until the target recall; with too many of them, shorter prefixes."""
+def plan(count: int, leaf: int = 512, near: int = 28, recall: float = 0.99, max_trees: int = 128, seed: int = 5) -> Forest:
+    """Depth by density, then trees until the target recall; with too many of them, shorter prefixes.
+
+    A tree's prefix is drawn from the bits without replacement: it misses all `near` differing bits with the probability p."""
     depth = max(0, min(40, math.ceil(math.log2(max(1, count) / leaf))))
-    while (trees := math.ceil(math.log(1 - recall) / math.log1p(-((1 - design) ** depth))) if depth else 1) > max_trees:
+    while (p := math.comb(BITS - near, depth) / math.comb(BITS, depth)) < 1 and (not p or math.log(1 - recall) / math.log1p(-p) > max_trees):
         depth -= 1
+    trees = math.ceil(math.log(1 - recall) / math.log1p(-p)) if p < 1 else 1
     rng = np.random.default_rng(seed)
     return Forest(np.array([rng.permutation(BITS) for _ in range(trees)]), depth)
 
@@ -193,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = signatures(docs, id_col, text_col)
     texts = keep(sig.groupBy("node", "text_hash", *CODE).agg(F.min("id").alias("low"), F.count("*").alias("n")), "texts")
     nodes = keep(texts.groupBy("node", *CODE).agg(F.min("low").alias("low"), F.count("*").alias("w")), "nodes")
-    forest = plan(nodes.count(), **how)
+    forest = plan(nodes.count(), near=near, **how)
     masks = forest.masks()
     vertices = nodes.select("w", *CODE)
 
