@@ -87,6 +87,22 @@ def test_forest_recall_at_the_accepted_distance():
     assert nd.plan(10**6, near=0).trees == 1 and nd.plan(10**6, near=120).depth < 5
 
 
+def test_near_copies_of_other_lengths(spark):
+    rng = random.Random(9)
+    texts, pairs = [], set()
+    while len(pairs) < 8:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(47)]
+        both = [" ".join(base), " ".join(base[:34])]
+        raw = [t.encode() for t in both]
+        x = nd.codes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])).view(np.uint64)
+        d = [int(np.bitwise_count(x[0, k] ^ x[1, k])) for k in range(4)]
+        if d[0] + d[1] <= 28 and d[2] + d[3] <= 36:
+            pairs.add((len(texts), len(texts) + 1))
+            texts += both
+    rows = nd.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.n_links == 1 for r in rows) and {(r.class_id, r.doc_id) for r in rows if r.class_id != r.doc_id} == pairs
+
+
 def test_edges(spark):
     rows = [(1, None, 5), (2, "", 5), (3, "a b", 5), (3, "a b", 5), (None, "A  B", 5), (4, "q " * 100_000, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, class_id int")

@@ -108,7 +108,7 @@ def plan(count: int, leaf: int = 512, near: int = 28, recall: float = 0.99, max_
     return Forest(np.array([rng.permutation(BITS) for _ in range(trees)]), depth)
 
 
-def links(key: np.ndarray, side: np.ndarray, weight: np.ndarray, code: np.ndarray, masks: np.ndarray, near: int, verify: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+def links(key: np.ndarray, side: np.ndarray, weight: np.ndarray, code: np.ndarray, masks: np.ndarray, near: int, verify: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs (i, j) of rows of equal keys; a pair that an earlier tree brings together is left to that tree.
 
     Rows are sorted by key. side: rows of one side aren't compared with each other unless it is -1."""
@@ -125,7 +125,7 @@ def links(key: np.ndarray, side: np.ndarray, weight: np.ndarray, code: np.ndarra
         if len(hit):
             i, j = a[hit], b[hit]
             d = np.bitwise_count(x[i, 2] ^ x[j, 2]).astype(np.int64) + np.bitwise_count(x[i, 3] ^ x[j, 3])
-            ok = (d <= verify) & (np.minimum(code[i, 4], code[j, 4]) >= ratio * np.maximum(code[i, 4], code[j, 4])) & ((side[i] != side[j]) | (side[i] < 0))
+            ok = (d <= verify) & ((side[i] != side[j]) | (side[i] < 0))
             one.append(i[ok])
             two.append(j[ok])
     i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (one, two))
@@ -184,12 +184,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keep(cols.mapInArrow(sign, f"id {kind}, text_hash long, node long, c0 long, c1 long, c2 long, c3 long, len long"), "signatures")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 28, verify: int = 36, ratio: float = 0.75, chunk: int = 20_000, **how) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 28, verify: int = 36, chunk: int = 20_000, **how) -> DataFrame:
     """One row for each document: id, class_id (the smallest id of its class), n_links (how many different texts its text is
     linked with) and n_copies (other documents of the same text).
 
-    Two texts are linked if their words' codes differ in at most `near` bits and their pairs' codes in at most `verify`, and
-    the shorter has at least `ratio` of the longer's words; classes are what links and equal texts connect. Equal texts, and texts of equal codes and lengths, are one vertex, so their pairs
+    Two texts are linked if their words' codes differ in at most `near` bits and their pairs' codes in at most `verify`,
+    whatever their lengths; classes are what links and equal texts connect. Equal texts, and texts of equal codes and lengths, are one vertex, so their pairs
     are counted, not listed. Null and empty texts are copies of each other. A leaf of more than `chunk` vertices is compared in
     blocks, each a task's share; only counts and a spanning forest leave a block. Null ids take part; a class of null ids
     alone has a null class_id. Repeated rows each return. Other columns are not read. An empty table gives no rows."""
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         block = np.append(0, np.cumsum((part[1:, :3] != part[:-1, :3]).any(axis=1)))
         key = (part[:, 0] >> 48 << 48) | block  # one key a block, the tree on top
         code = np.ascontiguousarray(part[:, 5:10])
-        i, j = links(key, part[:, 3], part[:, 4], code, masks, near, verify, ratio)
+        i, j = links(key, part[:, 3], part[:, 4], code, masks, near, verify)
         if not len(i):
             return
         ids, label = node_ids(code), spanning(i, j, len(part))
