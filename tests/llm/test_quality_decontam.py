@@ -82,6 +82,17 @@ def test_regions_equal_brute_force():
     assert n > 20
 
 
+def test_every_excerpt_of_63_bytes_is_found():
+    rng = random.Random(8)
+    letters = lambda n: bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    for size in (66, 70, 71, 100, 150, 226, 397):
+        item = b"q" + letters(size - 2) + b"z"
+        texts = [letters(40) + item[s : s + 63] + letters(40) for s in range(size - 62)]
+        at = np.cumsum([0, *map(len, texts)]).astype(np.int64)
+        found = dc.regions(dc.index([item]), np.frombuffer(b"".join(texts), np.uint8), at)
+        assert {r for r, *_ in found} == set(range(len(texts)))
+
+
 def test_decontam_query_and_edges(spark, sf):
     docs = {r.doc_id: (r.text or "").lower() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     bench = {r.item_id: r.text.lower() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}

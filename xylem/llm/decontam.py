@@ -1,6 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark item is cut into overlapping patterns. Within e edits of a pattern of m bytes, a region of a text shares at least
+A benchmark item is cut into overlapping patterns: long ones with a wide budget of edits, and short ones, close together and
+with a narrow one, for excerpts. Within e edits of a pattern of m bytes, a region of a text shares at least
 m - q + 1 - e * q of its q-grams with it, all on e + 1 neighbouring diagonals. Shared q-grams are therefore counted in bands
 of 2 (e + 1) diagonals that overlap by half, so that one band holds them all; bands that meet the bound are aligned.
 """
@@ -34,6 +35,18 @@ def grams(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) - Q + 1,), "<u8", np.ascontiguousarray(buf).data, strides=(1,)).astype(np.uint64)
 
 
+@dataclass
+class Entries:
+    """Where patterns of one kind hold each q-gram: those of key k at first[k] to first[k + 1]. A region of a text within the
+    budget of any of them has `least` hits or more in at most `widest` bytes."""
+
+    first: np.ndarray
+    pattern: np.ndarray
+    offset: np.ndarray
+    least: int
+    widest: int
+
+
 @dataclass
 class Patterns:
     """text: folded bytes; item, start: where each comes from; edits: its budget; bound: shared q-grams that it asks for."""
@@ -45,39 +58,50 @@ class Patterns:
     bound: np.ndarray
     filter: np.ndarray
     keys: np.ndarray
-    first: np.ndarray
-    pattern: np.ndarray
-    offset: np.ndarray
+    kinds: list[Entries]
 
 
-def index(items: list[bytes], length: int = 120, rate: float = 0.1) -> Patterns:
-    """Patterns of up to `length` bytes, from every half of it on; items shorter than that are one pattern each.
+def index(items: list[bytes], length: int = 120, rate: float = 0.1, short: int = 60, stride: int = 10, short_rate: float = 0.05) -> Patterns:
+    """Patterns of up to `length` bytes, from every half of it on; items shorter than that are one pattern each. Items longer
+    than short + stride are also cut into patterns of `short` bytes, from every `stride` bytes on.
 
-    The budget is rate * m edits, less if the lemma would then ask for no q-gram (very short items)."""
-    text, item, start = [], [], []
+    The budget is rate * m edits (short_rate * m for the short ones), less if the lemma would then ask for no q-gram (very
+    short items). A verbatim excerpt of short + stride - 1 - 2 * int(short_rate * short) bytes, 63, lacks no more bytes of
+    some pattern than its budget, and so is surely found."""
+    text, item, start, brief = [], [], [], []
     for k, raw in enumerate(items):
         body = _fold(np.frombuffer(raw, np.uint8)).tobytes()
-        step = length // 2
-        at = [0] if len(body) <= length + step // 2 else [*range(0, len(body) - length, step), len(body) - length]
-        for s in at:
-            piece = body[s:] if len(at) == 1 else body[s : s + length]
+        step, n = length // 2, len(body)
+        cuts = [(0, n, False)] if n <= length + step // 2 else [(s, length, False) for s in (*range(0, n - length, step), n - length)]
+        if n > short + stride:
+            cuts += [(s, short, True) for s in (*range(0, n - short, stride), n - short)]
+        for s, size, is_short in cuts:
+            piece = body[s : s + size]
             if len(piece.strip()) >= Q:
                 text.append(piece)
                 item.append(k)
                 start.append(s)
+                brief.append(is_short)
     m = np.array([len(t) for t in text], np.int64)
-    edits = np.maximum(0, np.minimum((m * rate).astype(np.int64), (m - Q) // Q))
+    edits = np.maximum(0, np.minimum((m * np.where(brief, short_rate, rate)).astype(np.int64), (m - Q) // Q))
     bound = np.maximum(1, m - Q + 1 - edits * Q)
     parts = [grams(np.frombuffer(t, np.uint8)) for t in text]
     key = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     pattern = np.repeat(np.arange(len(text)), [len(p) for p in parts]).astype(np.int64)
     offset = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
     order = np.argsort(key, kind="stable")
-    keys, first = np.unique(key[order], return_index=True)
+    keys = np.unique(key)
     bits = np.zeros(1 << _BITS, bool)
     with np.errstate(over="ignore"):
         bits[(keys * _MUL) >> np.uint64(64 - _BITS)] = True
-    return Patterns(text, item, start, edits, bound, bits, keys, np.append(first, len(key)), pattern[order], offset[order])
+    kinds, brief = [], np.array(brief, bool)
+    for kind in (~brief, brief):  # short patterns ask for more hits in less width, so they are sought by themselves
+        if kind.any():
+            own = order[kind[pattern[order]]]
+            first = np.searchsorted(key[own], np.append(keys, keys[-1:]), "left")
+            first[-1] = len(own)
+            kinds.append(Entries(first, pattern[own], offset[own], int(bound[kind].min()), int((m[kind] + 2 * edits[kind]).max())))
+    return Patterns(text, item, start, edits, bound, bits, keys, kinds)
 
 
 def banded(pattern: bytes, text: bytes, edits: int) -> tuple[int, int, int]:
@@ -122,25 +146,33 @@ def regions(pats: Patterns, buf: np.ndarray, at: np.ndarray) -> list[tuple[int,
     where, k, row = where[inside], k[inside], row[inside]
     if not len(where):
         return []
-    least, widest = int(pats.bound.min()), int(max(map(len, pats.text)) + 2 * pats.edits.max())
+    out: list[tuple[int, int, int, int, int]] = []
+    for kind in pats.kinds:
+        out += _dense(pats, kind, text, at, where, k, row)
+    return sorted(set(out))
+
+
+def _dense(pats: Patterns, kind: Entries, text: np.ndarray, at: np.ndarray, where: np.ndarray, k: np.ndarray, row: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    own = kind.first[k + 1] > kind.first[k]
+    where, k, row = where[own], k[own], row[own]
     # a region holds `least` hits or more, so it lies where that many hits are within its width
-    left = np.arange(len(where)) - np.searchsorted(where, where - widest, "left") + 1
-    right = np.searchsorted(where, where + widest, "right") - np.arange(len(where))
-    dense = left + right - 1 >= least
+    left = np.arange(len(where)) - np.searchsorted(where, where - kind.widest, "left") + 1
+    right = np.searchsorted(where, where + kind.widest, "right") - np.arange(len(where))
+    dense = left + right - 1 >= kind.least
     where, k, row = where[dense], k[dense], row[dense]
     out: list[tuple[int, int, int, int, int]] = []
     for a in range(0, len(where), 1 << 16):  # the bands of a run of hits; runs overlap by one region's width
         b = min(len(where), a + (1 << 16))
-        b2 = int(np.searchsorted(where, where[b - 1] + 2 * widest, "right"))
-        out += _bands(pats, text, at, where[a:b2], k[a:b2], row[a:b2])
-    return sorted(set(out))
+        b2 = int(np.searchsorted(where, where[b - 1] + 2 * kind.widest, "right"))
+        out += _bands(pats, kind, text, at, where[a:b2], k[a:b2], row[a:b2])
+    return out
 
 
-def _bands(pats: Patterns, text: np.ndarray, at: np.ndarray, where: np.ndarray, k: np.ndarray, row: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    count = pats.first[k + 1] - pats.first[k]
+def _bands(pats: Patterns, kind: Entries, text: np.ndarray, at: np.ndarray, where: np.ndarray, k: np.ndarray, row: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    count = kind.first[k + 1] - kind.first[k]
     hit = np.repeat(np.arange(len(where)), count)
-    entry = np.repeat(pats.first[k] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(int(count.sum()))
-    pattern, offset = pats.pattern[entry], pats.offset[entry]
+    entry = np.repeat(kind.first[k] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(int(count.sum()))
+    pattern, offset = kind.pattern[entry], kind.offset[entry]
     diag = where[hit] - offset
     width = pats.edits[pattern] + 1
     band = np.floor_divide(diag, width)
