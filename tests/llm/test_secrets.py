@@ -55,3 +55,17 @@ def test_query(spark, sf):
         spans = brute(docs[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{BASE[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in spans) for i in range(3)]
+
+
+def test_time_follows_the_number_of_matches():
+    import time
+
+    scanner, one = compile_rules(), b"token=" + b"Ab9" * 6 + b" password: 'zzzzzzzzzzzzz' x "
+    took = []
+    for n in (10_000, 80_000):
+        raw = one * n
+        began = time.process_time()
+        found = find(scanner, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        took.append(time.process_time() - began)
+        assert len(found[0]) == 2 * n
+    assert took[1] < 20 * took[0]

@@ -306,14 +306,16 @@ def accepts(dfa: Dfa, buf: np.ndarray, at: np.ndarray, lane: int = 512) -> tuple
             what.append(state[hit].copy())
         t += 1
     if t < len(alive):  # a few long lanes without a byte to cut at
-        steps, first = table.tolist(), dfa.first_accepting
+        steps, first, ends, states = _lists(dfa)[0], dfa.first_accepting, [], []
         for i in range(int(alive[t])):
             s, lo = int(state[i]), int(starts[i])
             for p, c in enumerate(cls[lo + t : lo + int(length[i])].tobytes(), lo + t + 1):
                 s = steps[s + c]
                 if s >= first:
-                    where.append(np.array([p]))
-                    what.append(np.array([s]))
+                    ends.append(p)
+                    states.append(s)
+        where.append(np.array(ends, np.int64))
+        what.append(np.array(states, np.int32))
     if not where:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     where_, what_ = np.concatenate(where), np.concatenate(what)
@@ -321,23 +323,36 @@ def accepts(dfa: Dfa, buf: np.ndarray, at: np.ndarray, lane: int = 512) -> tuple
     return where_[order], dfa.accept[what_[order] // dfa.classes]
 
 
-def _walk(dfa: Dfa, data: bytes, least_only: bool = False) -> tuple[int, int]:
-    """Lengths of the shortest and the longest prefix that the automaton accepts (-1: none)."""
-    s, short, long, table, cls, k, first = 0, -1, -1, dfa.table, dfa.byte_class, dfa.classes, dfa.first_accepting
-    for i, b in enumerate(data, 1):
-        s = int(table[s + int(cls[b])])
+def _walk(dfa: Dfa, data: bytes, start: int, stop: int, step: int = 1) -> tuple[int, int]:
+    """Lengths of the shortest and the longest run of bytes from start on (stop: exclusive; step -1: backwards) that the
+    automaton accepts (-1: none). It reads no further than the automaton lives, and copies nothing."""
+    table, cls = _lists(dfa)
+    s, short, long, first, dead = 0, -1, -1, dfa.first_accepting, dfa.dead * dfa.classes
+    for n, i in enumerate(range(start, stop, step), 1):
+        s = table[s + cls[data[i]]]
         if s >= first:
-            long = i
+            long = n
             if short < 0:
-                short = i
-        elif s == dfa.dead * k:
+                short = n
+        elif s == dead:
             break
     return short, long
 
 
+_LISTS: dict[int, tuple[Dfa, list[int], list[int]]] = {}
+
+
+def _lists(dfa: Dfa) -> tuple[list[int], list[int]]:
+    """The transitions and the bytes' classes as lists, which are faster one by one."""
+    if id(dfa) not in _LISTS:
+        _LISTS[id(dfa)] = (dfa, dfa.table.tolist(), dfa.byte_class.tolist())
+    return _LISTS[id(dfa)][1:]
+
+
 def find(scanner: Scanner, buf: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
     """Row to its matches (start, rule's index, end), as byte offsets within the row, in that order."""
     where, bits = accepts(scanner.all, buf, at)
+    data = buf.tobytes() if len(where) else b""
     out: dict[int, list[tuple[int, int, int]]] = {}
     row = np.searchsorted(at, where - 1, "right") - 1
     for k, rule in enumerate(scanner.rules):
@@ -349,14 +364,14 @@ def find(scanner: Scanner, buf: np.ndarray, at: np.ndarray) -> dict[int, list[tu
             if r != last_row:
                 done, last_row = int(at[r]), r
             if e <= done:
-                i += max(1, int(np.searchsorted(ends[i:], done, "right")))
+                i = max(i + 1, int(np.searchsorted(ends, done, "right")))
                 continue
-            _, length = _walk(scanner.behind[k], buf[done:e][::-1].tobytes())
+            _, length = _walk(scanner.behind[k], data, e - 1, done - 1, -1)
             if length < 0:
                 i += 1
                 continue
             start = e - length
-            short, long = _walk(scanner.ahead[k], buf[start : int(at[r + 1])].tobytes())
+            short, long = _walk(scanner.ahead[k], data, start, int(at[r + 1]))
             done = start + long
             if long - short + 1 >= rule.least:
                 out.setdefault(r, []).append((start - int(at[r]), k, done - int(at[r])))
