@@ -71,17 +71,41 @@ def test_regions_equal_brute_force():
         texts.append("".join(t) + " " + say(5))
     raw = [t.encode() for t in texts]
     at = np.cumsum([0, *map(len, raw)]).astype(np.int64)
-    found = {(r, p): min(e for r2, p2, *_, e in dc.regions(pats, np.frombuffer(b"".join(raw), np.uint8), at) if (r2, p2) == (r, p)) for r, p, *_ in dc.regions(pats, np.frombuffer(b"".join(raw), np.uint8), at)}
+    found = {}
+    for r, item, start, lo, hi, e in dc.regions(pats, np.frombuffer(b"".join(raw), np.uint8), at):
+        found.setdefault((r, item, start), []).append((e, lo, hi))
     n = 0
     for r, t in enumerate(raw):
         folded = dc._fold(np.frombuffer(t, np.uint8)).tobytes()
-        for p, pattern in enumerate(pats.text):
-            best = edit_distance_in(pattern, folded)
-            assert ((r, p) in found) == (best <= pats.edits[p]), (best, pats.edits[p])
-            n += (r, p) in found
+        want, near = {}, {}
+        for kind in pats.kinds:  # long and short patterns may begin alike
+            for s, m, e in zip(kind.start, kind.size, kind.edits):
+                key, pattern = (r, pats.owners[pats.item(s)][0], int(s - pats.first[pats.item(s)])), pats.body[s : s + m].tobytes()
+                for _, lo, hi in found.get(key, []):
+                    near.setdefault((key, lo, hi), []).append(edit_distance_in(pattern, folded[lo:hi]))
+                if (best := edit_distance_in(pattern, folded)) <= e:
+                    want[key] = min(want.get(key, 99), best)
+        assert all(e in near[key, lo, hi] for key, f in found.items() if key[0] == r for e, lo, hi in f)
+        mine = {key: min(f)[0] for key, f in found.items() if key[0] == r}
+        assert mine == want
+        n += len(mine)
     assert n > 20
 
 
+def test_repeated_grams_on_both_sides():
+    rng = random.Random(6)
+    dashes = [f"item {k} " + "-" * 100 + f" answer {rng.random()}" for k in range(20)]
+    pats = dc.index([d.encode() for d in dashes])
+    raw = [b"-" * 40_000, b"x " * 10_000 + dashes[3].upper().encode(), b"ab" * 20_000]
+    at = np.cumsum([0, *map(len, raw)]).astype(np.int64)
+    found = dc.regions(pats, np.frombuffer(b"".join(raw), np.uint8), at)
+    assert {item for r, item, *_ in found if r == 0} == set(range(20)) and {r for r, *_ in found} == {0, 1}
+    assert (1, 3, 0, 20_000, 20_000 + len(dashes[3]), 0) in [x for x in found if x[0] == 1]
+    for _, same in __import__("itertools").groupby(sorted(x for x in found if x[0] == 0), key=lambda x: x[:3]):
+        ends = [x[3:5] for x in same]
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_every_excerpt_of_63_bytes_is_found():
     rng = random.Random(8)
     letters = lambda n: bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
