@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from xylem.llm import lm
 from xylem.llm.queries import op5_lm
@@ -45,15 +46,29 @@ def equal(rows, want):
 
 def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    equal(op5_lm(spark, sf).collect(), brute(docs, (1000.0,), lambda i: zlib.crc32(str(i).encode()) % 7 == 2))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    want = {m: brute(docs, m, held) for m in lm.MASSES}
+    best = max(lm.MASSES, key=lambda m: sum(w[5] for w in want[m].values() if w[0]))
+    rows = op5_lm(spark, sf).collect()
+    equal(rows, want[best])
+    assert {r.mass for r in rows} == {",".join(map(str, best))}
+    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
 @pytest.mark.parametrize("mass", [(), (3.0,), (3.0, 1.5), (5.0, 2.0, 1.0)])
-def test_small_blocks_and_long_lanes(spark, mass):
+def test_small_blocks_buckets_and_long_lanes(spark, mass):
     rng = random.Random(1)
     docs = [(i, " ".join(rng.choice(["A", "a", "b", "cc", "d,", "é"]) for _ in range(rng.choice([0, 1, 3, 40, 700])))) for i in range(60)] + [(100, None), (101, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    equal(lm.score_texts(df, mass=mass, block_bytes=3000).collect(), brute(docs, mass, lambda i: zlib.crc32(str(i).encode()) % 7 == 2))
+    equal(lm.score_texts(df, masses=(mass,), block_bytes=3000, bucket_grams=900, most_parts=7).collect(), brute(docs, mass, lambda i: zlib.crc32(str(i).encode()) % 7 == 2))
+
+
+def test_hash_table():
+    rng = np.random.default_rng(2)
+    keys = rng.permutation(np.unique(rng.integers(0, 1 << 40, 5000)))
+    arcs = lm.Arcs(keys)
+    assert (arcs.find(keys) == np.arange(len(keys))).all()
+    assert (lm.Arcs(keys[:0]).find(keys) == -1).all() and (arcs.find(keys + (1 << 41)) == -1).all()
 
 
 def test_edges(spark):

@@ -1,17 +1,18 @@
 """Language-model scores by a weighted backoff automaton over word n-grams.
 
 Texts are packed into blocks. A block asks for the corpus counts of just the n-grams that occur in it; the n-grams go, hashed and
-packed, to buckets, which add the blocks' training counts up and answer. So no table of the whole vocabulary is ever in
-one place. From the answers a block builds its part of the automaton: a state for each context that the training texts hold,
-arcs for its known continuations, and a failure arc to the context without its first word. One traversal from left to
-right, in many lanes at once, carries the state and adds the arcs' log-probabilities.
+packed, to buckets by ranges of their keys, which add the blocks' training counts up and answer. So no table of the whole vocabulary
+is ever in one place, and a bucket holds about as many n-grams whatever the corpus. From the answers a block builds its part of
+the automaton: a state for each context that the training texts hold, arcs for its known continuations, and a failure arc to the
+context without its first word. One traversal from left to right, in many lanes at once, carries the state and adds the arcs'
+log-probabilities, for each of several weightings; the one that gives the held-out texts the highest probability is kept.
 
 Of order 1, p(w) = (c(w) + 1) / (N + V + 1); of order k, p(w | h) = (c(hw) + mass p(w | h')) / (c(h) + mass), which sums to 1.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +41,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 @dataclass
 class Grams:
-    """Tokens of some rows, each row after order - 1 pads; keys[k - 1][i]: of the k tokens up to i (0 where there are fewer)."""
+    """Tokens of some rows, each row after order - 1 pads; keys[k - 1][i]: of the k tokens up to i, where there are as many."""
 
     row: np.ndarray
     place: np.ndarray
@@ -52,7 +53,11 @@ class Grams:
         return self.place >= self.order - 1
 
 
-def tokens(buf: np.ndarray, at: np.ndarray, order: int) -> Grams:
+WORD_BITS = 62
+
+
+def tokens(buf: np.ndarray, at: np.ndarray, order: int, bits: int = WORD_BITS) -> Grams:
+    """bits: of the keys of two tokens and more."""
     low, n = lower(buf), len(at) - 1
     starts, ends, row = words(low, at)
     count = np.bincount(row, minlength=n) if len(row) else np.zeros(n, np.int64)
@@ -65,38 +70,70 @@ def tokens(buf: np.ndarray, at: np.ndarray, order: int) -> Grams:
         token[first[row] + order - 1 + np.arange(len(row)) - before[row]] = span_hashes(low, starts, ends)
     rows = np.repeat(np.arange(n), size)
     place = np.arange(len(token)) - first[rows]
-    word = mix64(token) | _ONE  # odd keys are of single tokens, and no pads
+    full = mix64(token)
+    word = full >> np.uint64(64 - WORD_BITS) | _ONE  # odd keys are of words and ends, not of pads
     word[token == PAD] &= ~_ONE
     keys = [word]
-    for k in range(2, order + 1):
-        key = np.zeros(len(token), np.uint64)
+    for _ in range(2, order + 1):
+        longer = np.zeros(len(token), np.uint64)
         with np.errstate(over="ignore"):
-            key[1:] = mix64(keys[-1][:-1] * _MUL + word[1:]) & ~_ONE
-        key[place < k - 1] = 0
-        keys.append(key)
+            longer[1:] = mix64(full[:-1] * _MUL + word[1:])
+        full = longer
+        keys.append(full >> np.uint64(64 - bits))
     return Grams(rows, place, keys, order)
 
 
-def requests(g: Grams, train: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """bucket, key and training count of each n-gram of the rows, by bucket and key. train: of the rows."""
-    mine = train[g.row]
-    out = []
+def requests(g: Grams, train: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the different keys of the rows, ascending, and how often the training ones among them hold each."""
+    mine, out = train[g.row].astype(np.uint64), []
     for k, key in enumerate(g.keys):
         valid = g.place >= k
-        known, count = np.unique(key[valid & mine], return_counts=True)
-        other = np.setdiff1d(key[valid & ~mine], known)
-        out.append((np.concatenate([known, other]), np.append(count, np.zeros(len(other), np.int64))))
-    key, count = (np.concatenate(x) for x in zip(*out))
-    bucket = ((key >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((key, bucket))
-    return bucket[order], key[order], count[order]
+        x = np.sort(key[valid] << _ONE | mine[valid])
+        first = np.flatnonzero(np.append(True, x[1:] >> _ONE != x[:-1] >> _ONE)) if len(x) else np.zeros(0, np.int64)
+        out.append((x[first] >> _ONE, np.add.reduceat((x & _ONE).astype(np.int64), first) if len(x) else first))
+    return out
+
+
+def bounds(buckets: int, bits: int) -> np.ndarray:
+    """The least key of each bucket but the first."""
+    return np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
+
+
+class Arcs:
+    """A hash table of whole numbers, filled and asked many at a time."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        todo, at = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            lost = self.slots[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) % len(self.slots)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys.view(np.uint64)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place among the table's keys, or -1."""
+        at = self._slot(keys)
+        out = self.slots[at]
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys)) if len(self.keys) else np.zeros(0, np.int64)
+        while len(todo):
+            at[todo] = (at[todo] + 1) % len(self.slots)
+            out[todo] = self.slots[at[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[out[todo]] != keys[todo])]
+        return out
 
 
 @dataclass
 class Automaton:
-    """Arcs by state << 32 | token, ascending; state 0 is the root, where every token has an arc or weighs `unseen`."""
+    """Arcs by state << 32 | token; state 0 is the root, where a token without an arc weighs `unseen`. Weights have a column for
+    each weighting."""
 
-    arcs: np.ndarray
+    arcs: Arcs
     target: np.ndarray
     weight: np.ndarray
     fail: np.ndarray
@@ -105,60 +142,61 @@ class Automaton:
     start: int
 
 
-def build(g: Grams, key: np.ndarray, total: np.ndarray, n: int, v: int, mass: tuple[float, ...]) -> tuple[Automaton, np.ndarray]:
-    """The automaton of the rows' n-grams, whose training counts are total (by ascending key), and each position's token."""
-    vocabulary, token = np.unique(g.keys[0], return_inverse=True)
-    counts = lambda x: total[np.searchsorted(key, x)].astype(np.float64)
-    state_keys: list[np.ndarray] = []
-    states = 1
-    fails, fail_weights = [np.zeros(1, np.int64)], [np.zeros(1)]
+def numbers(g: Grams) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order, every place's number among the different keys (as requests has them; -1 where there is none), and a place
+    of each key."""
+    out = []
+    for k, key in enumerate(g.keys):
+        where = np.flatnonzero(g.place >= k)
+        order = np.argsort(key[where])
+        by = key[where][order]
+        new = np.append(True, by[1:] != by[:-1]) if len(by) else np.zeros(0, bool)
+        number = np.full(len(key), -1, np.int64)
+        number[where[order]] = np.cumsum(new) - 1
+        out.append((number, where[order[new]]))
+    return out
+
+
+def build(g: Grams, ids: list[tuple[np.ndarray, np.ndarray]], total: list[np.ndarray], n: int, v: int, masses: list[tuple[float, ...]]) -> Automaton:
+    """The automaton of the rows' n-grams, whose training counts are total, by order and number. masses: a weighting each."""
+    states, fails, fail_weights = 1, [np.zeros(1, np.int64)], [np.zeros((1, len(masses)))]
     arcs, target, weight = [], [], []
-    base: list[int] = []
-    prior: tuple[np.ndarray, np.ndarray] | None = None
-    unseen = 1 / (n + v + 1)
+    state_of = [np.zeros(1, np.int64)]
     for k in range(1, g.order + 1):
-        found, at = np.unique(g.keys[k - 1][g.place >= k - 1], return_index=True)
-        at = np.flatnonzero(g.place >= k - 1)[at]
-        c = counts(found)
+        number, at = ids[k - 1]
+        c = total[k - 1]
+        seen = c > 0
         if k == 1:
-            p = (c + 1) / (n + v + 1)
-            source = np.zeros(len(found), np.int64)
+            p = np.repeat(((c + 1) / (n + v + 1))[:, None], len(masses), axis=1)
+            source = shorter = np.zeros(len(at), np.int64)
         else:
-            context = counts(g.keys[k - 2][at - 1])
-            p = (c + mass[k - 2] * prior[1][np.searchsorted(prior[0], g.keys[k - 2][at])]) / (context + mass[k - 2])
-            source = base[k - 2] + np.searchsorted(state_keys[k - 2], g.keys[k - 2][at - 1])
-        seen = c > 0
-        shorter = np.zeros(len(found), np.int64) if k == 1 else base[k - 2] + np.searchsorted(state_keys[k - 2], g.keys[k - 2][at])
+            context, suffix = ids[k - 2][0][at - 1], ids[k - 2][0][at]
+            mass = np.array([m[k - 2] for m in masses])
+            p = (c[:, None] + mass * p[suffix]) / (total[k - 2][context][:, None] + mass)
+            source, shorter = state_of[k - 1][context], state_of[k - 1][suffix]
+        own = shorter
         if k < g.order:
-            state_keys.append(found[seen])
-            base.append(states)
-            own = np.zeros(len(found), np.int64)
+            own = shorter.copy()
             own[seen] = states + np.arange(int(seen.sum()))
             states += int(seen.sum())
             fails.append(shorter[seen])
-            fail_weights.append(np.log10(mass[k - 1] / (c[seen] + mass[k - 1])))
-        else:
-            own = shorter
+            mass = np.array([m[k - 1] for m in masses])
+            fail_weights.append(np.log10(mass / (c[seen][:, None] + mass)))
+            state_of.append(own)
         use = seen & (g.place[at] >= g.order - 1)
-        arcs.append(source[use] << 32 | token[at[use]])
+        arcs.append(source[use] << 32 | ids[0][0][at[use]])
         target.append(own[use])
         weight.append(np.log10(p[use]))
-        prior = (found, p)
-    start = 0
-    pads = np.flatnonzero(g.place == g.order - 2)[:1] if g.order > 1 else []
-    for k in range(g.order - 1, 0, -1):
-        if len(pads) and not start:
-            i = np.searchsorted(state_keys[k - 1], g.keys[k - 1][pads[0]])
-            if i < len(state_keys[k - 1]) and state_keys[k - 1][i] == g.keys[k - 1][pads[0]]:
-                start = base[k - 1] + int(i)
-    all_arcs = np.concatenate(arcs)
-    order = np.argsort(all_arcs)
-    return Automaton(all_arcs[order], np.concatenate(target)[order], np.concatenate(weight)[order], np.concatenate(fails), np.concatenate(fail_weights), float(np.log10(unseen)), start), token
+    pads = np.flatnonzero(g.place == g.order - 2)[:1]
+    start = int(state_of[-1][ids[g.order - 2][0][pads[0]]]) if g.order > 1 and len(pads) else 0
+    return Automaton(Arcs(np.concatenate(arcs)), np.concatenate(target), np.concatenate(weight), np.concatenate(fails), np.concatenate(fail_weights), float(np.log10(1 / (n + v + 1))), start)
 
 
 def traverse(a: Automaton, g: Grams, token: np.ndarray, rows: int, lane: int = 256) -> np.ndarray:
-    """Each row's log10 probability. A lane begins order - 1 tokens early, without weight, and so in the right state."""
-    out = np.zeros(rows)
+    """Each row's log10 probability by each weighting. A lane begins order - 1 tokens early, without weight, and so in the
+    right state."""
+    many = a.weight.shape[1]
+    out = np.zeros((rows, many))
     where = np.flatnonzero(g.predicted)
     if not len(where):
         return out
@@ -169,28 +207,28 @@ def traverse(a: Automaton, g: Grams, token: np.ndarray, rows: int, lane: int = 2
     last = np.flatnonzero(np.diff(g.row, append=-1)) + 1
     end = np.minimum(end, last[row])
     warm = np.where(inside > 0, np.minimum(inside, g.order - 1), 0)
-    at, state, total = heads - warm, np.where(inside > 0, 0, a.start), np.zeros(len(heads))
+    at, state, total = heads - warm, np.where(inside > 0, 0, a.start), np.zeros((len(heads), many))
     live = np.argsort(-(end - at), kind="stable")
     while len(live):
-        here, s = token[at[live]].astype(np.int64), state[live]
-        w, todo = np.zeros(len(live)), np.arange(len(live))
+        here, s = token[at[live]], state[live]
+        w, todo = np.zeros((len(live), many)), np.arange(len(live))
         while len(todo):
-            arc = s[todo] << 32 | here[todo]
-            i = np.minimum(np.searchsorted(a.arcs, arc), len(a.arcs) - 1)
-            hit = a.arcs[i] == arc if len(a.arcs) else np.zeros(len(todo), bool)
+            i = a.arcs.find(s[todo] << 32 | here[todo])
+            hit, miss = i >= 0, todo[i < 0]
             w[todo[hit]] += a.weight[i[hit]]
-            miss = todo[~hit]
-            lost = s[todo[~hit]] == 0
             s[todo[hit]] = a.target[i[hit]]
+            lost = s[miss] == 0
             w[miss[lost]] += a.unseen
             todo = miss[~lost]
             w[todo] += a.fail_weight[s[todo]]
             s[todo] = a.fail[s[todo]]
-        total[live] += np.where(at[live] >= heads[live], w, 0)
+        w[at[live] < heads[live]] = 0
+        total[live] += w
         state[live] = s
         at[live] += 1
         live = live[at[live] < end[live]]
-    np.add.at(out, row, total)
+    for m in range(many):
+        out[:, m] = np.bincount(row, total[:, m], rows)
     return out
 
 
@@ -219,7 +257,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, held_out: F.Column,
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(pa.Table.from_batches(held).combine_chunks())
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "docs"])
 
         for batch in batches:
             at = utf8(batch.column(1))[1]
@@ -237,73 +275,118 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, held_out: F.Column,
             yield close()
 
     cols = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), held_out.alias("held_out"))
-    return keep(cols.mapInArrow(run, "block long, docs binary"), "blocks")
+    return keep(cols.mapInArrow(run, "block long, size long, docs binary"), "blocks")
 
 
-def open_block(data: pa.Scalar, order: int) -> tuple[pa.Table, Grams, np.ndarray]:
+def open_block(data: pa.Scalar, order: int, bits: int) -> tuple[pa.Table, Grams, np.ndarray]:
     rows = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
-    return rows, tokens(*utf8(rows.column(1)), order), ~rows.column(2).to_numpy().astype(bool)
+    return rows, tokens(*utf8(rows.column(1)), order, bits), ~rows.column(2).to_numpy().astype(bool)
+
+
+#: Weightings among which the held-out texts choose: the mass of the lower order, for orders 2 and 3.
+MASSES = ((1000.0, 30.0), (1000.0, 10.0), (1000.0, 3.0), (4000.0, 10.0))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, mass: tuple[float, ...] = (1000.0,), block_bytes: int = 4 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, masses: Sequence[tuple[float, ...]] = MASSES, block_bytes: int = 4 << 20, bucket_grams: int = 6_000_000, most_parts: int = 20_000) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
-    mass: the weight of the lower order, for orders 2 and up; its length sets the automaton's order. Rows whose id's crc32 is
-    `fold` modulo `folds` are held out, the others are learnt from, each as often as it occurs. Null and empty texts are
-    one end token; a null id counts as the empty text in the fold. Other columns are not read. An empty table gives no
-    rows. The counts are those of all training rows, with no cap: what is shuffled grows with the texts."""
-    spark, order = docs.sparkSession, len(mass) + 1
+    masses: one or more weightings, each the weights of the lower order for orders 2 and up; their length sets the automaton's
+    order. Of several, the one is taken by which all held-out rows together are likeliest (the first of equal ones, and where
+    nothing is held out). Rows whose id's crc32 is `fold` modulo `folds` are held out, the others are learnt from, each as often
+    as it occurs. Null and empty texts are one end token; a null id counts as the empty text in the fold. Other columns are not
+    read. An empty table gives no rows.
+
+    The counts are those of all training rows, with no cap: what is shuffled grows with the texts. Words have keys of 62 bits;
+    those of longer n-grams have 20 bits more than would number all n-grams, so that about one n-gram in a million shares its
+    key. A bucket is asked for about bucket_grams n-grams, and has a partition of its own up to most_parts of them."""
+    order = len(masses[0]) + 1
+    if any(len(m) + 1 != order for m in masses):
+        raise ValueError("weightings of different orders")
     kind = docs.schema[id_col].dataType.simpleString()
     crc = F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary"))
     blocks = pack_blocks(docs, id_col, text_col, crc % folds == fold, block_bytes)
-    buckets = max(1, blocks.count())
+    facts = blocks.agg(F.count("*"), F.sum("size")).first()
+    grams = order * (int(facts[1] or 0) // 4 + 1)  # about four bytes a token
+    buckets, parts = -(-grams // bucket_grams), max(1, min(facts[0], most_parts))
+    bits = min(WORD_BITS, grams.bit_length() + 20)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = [bounds(buckets, WORD_BITS)] + [bounds(buckets, bits)] * (order - 1)
         for batch in batches:
             for number, data in zip(batch.column(0), batch.column(1)):
-                _, g, train = open_block(data, order)
-                bucket, key, count = requests(g, train, buckets)
-                cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-                for lo in range(0, len(cut) - 1, 256):
-                    spans = [(cut[i], cut[i + 1]) for i in range(lo, min(lo + 256, len(cut) - 1))]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([number.as_py()] * len(spans), pa.int64()), pa.array([pack(np.diff(key[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()), pa.array([pack(count[a:b]) for a, b in spans], pa.binary())], ["bucket", "block", "keys", "counts"])
+                _, g, train = open_block(data, order, bits)
+                own = requests(g, train)
+                ends = [np.concatenate([[0], np.searchsorted(key, cut), [len(key)]]) for (key, _), cut in zip(own, cuts)]
+                for lo in range(0, buckets, 256):
+                    some = range(lo, min(lo + 256, buckets))
+                    packed = []
+                    for b in some:
+                        spans = [slice(e[b], e[b + 1]) for e in ends]
+                        packed.append(pack(np.concatenate([np.array([s.stop - s.start for s in spans], np.uint64), *[np.diff(key[s], prepend=np.uint64(0)) for (key, _), s in zip(own, spans)], *[c[s].view(np.uint64) for (_, c), s in zip(own, spans)]])))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int64()), pa.array([number.as_py()] * len(some), pa.int64()), pa.array(packed, pa.binary())], ["bucket", "block", "data"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches):
-            parts = [np.cumsum(unpack(r[2].as_buffer().to_pybytes()), dtype=np.uint64) for r in rows]
-            keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate([unpack(r[3].as_buffer().to_pybytes()) for r in rows]).astype(np.float64), len(keys)).astype(np.int64)
-            single = (keys & _ONE).astype(bool) & (total > 0)
-            ends = np.cumsum([0, *map(len, parts)])
-            out = [(r[1].as_py(), rows[0][0].as_py(), pack(total[inverse[a:b]]), 0, 0) for r, a, b in zip(rows, ends, ends[1:])]
-            out.append((-1, rows[0][0].as_py(), b"", int(total[single].sum()), int(single.sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()])], ["block", "bucket", "data", "n", "v"])
-
-    asked = blocks.mapInArrow(ask, "bucket long, block long, keys binary, counts binary")
-    answered = keep(asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, "block long, bucket long, data binary, n long, v long"), "answers")
+            asked = [unpack(r[2].as_buffer().to_pybytes()) for r in rows]
+            sizes = np.array([x[:order] for x in asked], np.int64)
+            answers: list[list[np.ndarray]] = [[] for _ in rows]
+            n = v = 0
+            for k in range(order):
+                before, all_ = sizes[:, :k].sum(axis=1) + order, sizes.sum(axis=1)
+                key = np.concatenate([np.cumsum(x[a : a + m], dtype=np.uint64) for x, a, m in zip(asked, before, sizes[:, k])])
+                count = np.concatenate([x[a : a + m] for x, a, m in zip(asked, before + all_, sizes[:, k])]).astype(np.int64)
+                by = np.argsort(key)
+                new = np.append(True, key[by[1:]] != key[by[:-1]]) if len(key) else np.zeros(0, bool)
+                number = np.cumsum(new) - 1
+                total = np.add.reduceat(count[by], np.flatnonzero(new)) if len(key) else count
+                back = np.empty(len(key), np.int64)
+                back[by] = total[number] if len(key) else total
+                for out, part in zip(answers, np.split(back, np.cumsum(sizes[:-1, k]))):
+                    out.append(part)
+                if not k:
+                    single = (key[by[new]] & _ONE).astype(bool) & (total > 0)
+                    n, v = int(total[single].sum()), int(single.sum())
+            bucket = rows[0][0].as_py()
+            out_rows = [(r[1].as_py(), bucket, pack(np.concatenate([s, *x])), 0, 0) for r, s, x in zip(rows, sizes, answers)]
+            out_rows.append((-1, bucket, b"", n, v))
+            for a in range(0, len(out_rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out_rows[a : a + 256]), [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()])], ["block", "bucket", "data", "n", "v"])
+
+    asked = blocks.select("block", "docs").mapInArrow(ask, "bucket long, block long, data binary")
+    to = F.pmod(F.col("bucket"), F.lit(min(buckets, most_parts))).cast("int")
+    answered = keep(asked.repartitionById(min(buckets, most_parts), to).sortWithinPartitions("bucket", "block").mapInArrow(answer, "block long, bucket long, data binary, n long, v long"), "answers")
     sums = answered.filter("block = -1").agg(F.sum("n"), F.sum("v")).first()
     n, v = int(sums[0] or 0), int(sums[1] or 0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches):
-            docs_, g, train = open_block(rows[0][2], order)
-            _, key, _ = requests(g, train, buckets)
-            total = np.concatenate([unpack(r[2].as_buffer().to_pybytes()) for r in rows[1:]]).astype(np.int64)
-            if len(total) != len(key):
+            docs_, g, train = open_block(rows[0][2], order, bits)
+            parts: list[list[np.ndarray]] = [[] for _ in range(order)]
+            for r in rows[1:]:
+                x = unpack(r[2].as_buffer().to_pybytes()).astype(np.int64)
+                for own, part in zip(parts, np.split(x[order:], np.cumsum(x[: order - 1]))):
+                    own.append(part)
+            total, ids = [np.concatenate(p) for p in parts], numbers(g)
+            if [len(t) for t in total] != [len(at) for _, at in ids]:
                 raise RuntimeError("the answers don't fit the block's n-grams")
-            by = np.argsort(key)
-            key, total = key[by], total[by]
-            a, token = build(g, key, total, n, v, mass)
+            a = build(g, ids, total, n, v, masses)
             p, many = g.predicted, docs_.num_rows
-            c = total[np.searchsorted(key, g.keys[0][p])]
+            c = total[0][ids[0][0][p]]
             row = g.row[p]
             base = np.bincount(row, np.log10((c + 1) / (n + v + 1)), many)
-            cols = [docs_.column(0).combine_chunks(), pa.array(~train), pa.array(np.bincount(row, minlength=many).astype(np.int64)), pa.array(np.bincount(row, c > 0, many).astype(np.int64)), pa.array(np.full(many, n, np.int64)), pa.array(base), pa.array(traverse(a, g, token, many))]
-            yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            got = traverse(a, g, ids[0][0], many)
+            cols = [docs_.column(0).combine_chunks(), pa.array(~train), pa.array(np.bincount(row, minlength=many).astype(np.int64)), pa.array(np.bincount(row, c > 0, many).astype(np.int64)), pa.array(np.full(many, n, np.int64)), pa.array(base), pa.FixedSizeListArray.from_arrays(pa.array(got.reshape(-1)), got.shape[1]).cast(pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "scores"])
 
     both = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), F.col("docs").alias("data")).unionByName(answered.filter("block >= 0").select("block", "bucket", "data"))
-    scored = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumnRenamed("id", id_col)
+    scored = both.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, scores array<double>")
+    best = 0
+    if len(masses) > 1:
+        scored = keep(scored, "scores")
+        likely = scored.filter("held_out").agg(*[F.sum(F.col("scores")[m]) for m in range(len(masses))]).first()
+        if likely[0] is not None:
+            best = max(range(len(masses)), key=lambda m: likely[m])
+    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.col("scores")[best].alias("score"), F.lit(",".join(map(str, masses[best]))).alias("mass"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
