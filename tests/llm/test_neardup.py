@@ -22,8 +22,7 @@ def brute(texts):
     for i in range(len(uniq)):
         for j in range(i + 1, len(uniq)):
             d = [int(np.bitwise_count(x[i, k] ^ x[j, k])) for k in range(4)]
-            a, b = sorted((code[i, 4], code[j, 4]))
-            if d[0] + d[1] <= 28 and d[2] + d[3] <= 36 and a >= 0.75 * b:
+            if d[0] + d[1] <= 28 and d[2] + d[3] <= 36:
                 links[uniq[i]].add(j)
                 links[uniq[j]].add(i)
                 root[find(i)] = find(j)
@@ -56,22 +55,39 @@ def family(rng, n, words=120):
     return out
 
 
-def test_deep_forest_and_hot_leaves(spark):
+def test_deep_forest_dense_and_hot_subtrees(spark):
     rng = random.Random(2)
     texts = [t for _ in range(150) for t in family(rng, rng.choice([1, 1, 2, 3]))] + family(rng, 160)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     cls, links = brute(texts)
-    for how in ({"leaf": 2}, {"leaf": 4, "chunk": 20}):
+    deep = nd.Forest(nd.plan(10**7).order[:44], 8)
+    for how in ({"forest": deep, "leaf": 4}, {"chunk": 20}):
         rows = nd.near_duplicates(df, **how).collect()
         assert same_classes({r.doc_id: r.class_id for r in rows}, {i: cls[t] for i, t in enumerate(texts)})
         found, all_ = sum(r.n_links for r in rows), sum(len(links[t]) for t in texts)
-        assert 0.99 * all_ <= found <= all_
-
-
-def test_plan_climbs():
-    assert nd.plan(10).depth == 0 and nd.plan(10).trees == 1
-    deep, capped = nd.plan(10**7), nd.plan(10**7, max_trees=16)
-    assert capped.depth < deep.depth and capped.trees <= 16
+        assert 0.98 * all_ <= found <= all_
+
+
+def test_dense_subtree_finds_pairs_once():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2, (3000, 256), dtype=np.uint8)
+    for i in range(0, 3000, 3):  # pairs at the accepted distances
+        base[i + 1] = base[i]
+        base[i + 1, rng.permutation(128)[:28]] ^= 1
+    x = np.packbits(base, axis=1).view(np.uint64).reshape(-1, 4)
+    i, j = nd.dense(np.full(3000, -1), x, np.zeros(128, bool), 28, 36, 0.99, 1, leaf=64)
+    found = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
+    assert len(found) == len(i) and sum((k, k + 1) in found for k in range(0, 3000, 3)) > 970
+    leaf = nd.leaves_of(rng.integers(0, 1 << 12, 5000), 12, 40)
+    assert np.unique(leaf, return_counts=True)[1].max() <= 40
+
+
+def test_work_grows_less_than_the_table():
+    work = []
+    for count in (10**5, 10**6, 10**7, 10**9):
+        forest = nd.plan(count)
+        work.append(forest.trees * nd.descent(count / 2**forest.depth, 28, 0.99, 128 - forest.depth)[0])
+    assert work[1] < 3 * work[0] and work[2] < 3 * work[1] and work[3] < 9 * work[2]
 
 
 def test_forest_recall_at_the_accepted_distance():
@@ -83,10 +99,26 @@ def test_forest_recall_at_the_accepted_distance():
     one, two = (np.packbits(b, axis=1).view(np.int64) for b in (bits, far))
     for count in (10_000, 200_000, 12_000_000):
         forest = nd.plan(count)
-        assert forest.trees <= 128 and (forest.keys(one) == forest.keys(two)).any(axis=1).mean() > 0.98
+        assert (forest.keys(one) == forest.keys(two)).any(axis=1).mean() > 0.98
     assert nd.plan(10**6, near=0).trees == 1 and nd.plan(10**6, near=120).depth < 5
 
 
+def test_recall_of_shingle_jaccard(spark):
+    """Pairs of texts that share their five-word shingles, counted without any code of the operator."""
+    texts = sorted({r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()})
+    sets, by = [], defaultdict(list)
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+        for s in sets[-1]:
+            by[s].append(i)
+    pairs = {(i, j) for group in by.values() if len(group) < 40 for i in group for j in group if i < j}
+    near = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cls = {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()}
+    assert len(near) > 20 and sum(cls[i] == cls[j] for i, j in near) >= 0.97 * len(near)
+
+
 def test_near_copies_of_other_lengths(spark):
     rng = random.Random(9)
     texts, pairs = [], set()

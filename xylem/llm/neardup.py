@@ -1,10 +1,11 @@
 """Near-duplicate classes by SimHash and an LSH forest.
 
 A text has two SimHash codes of 128 bits: of its distinct words, which the forest searches, and of its distinct word pairs,
-which verifies. Each tree of the forest is a trie over the words' code with its bits in another random order. How deep a
-prefix must agree follows from the number of codes (leaves of about `leaf` codes); trees are added until a pair at the
-farthest accepted distance, `near`, is found with probability `recall`, and beyond max_trees the search climbs to shorter
-prefixes instead.
+which verifies. Each tree of the forest is a trie over the words' code with its bits in another random order. Subtrees (codes
+that agree in a prefix) are spread over the tasks. Within a subtree the search adapts to the density found there: few codes are
+compared as they are; many have a forest of their own over the bits left, whose tries split only where more than a leaf's
+codes are. Splitting stops, and the search climbs back to shorter prefixes, where the number of tries that the target recall
+at the farthest accepted distance, `near`, then needs would cost more than the comparisons that it saves.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.util import keep, lower, mix64, pieces, span_hashes, utf8, with_row_id, words
+from xylem.llm.util import join_uneven, keep, lower, mix64, pieces, span_hashes, utf8, with_row_id, words
 
 BITS = 128
 CODE = ["c0", "c1", "c2", "c3", "len"]
@@ -96,27 +97,51 @@ class Forest:
         return np.packbits(out, axis=1).view("<u8")
 
 
-def plan(count: int, leaf: int = 512, near: int = 28, recall: float = 0.99, max_trees: int = 128, seed: int = 5) -> Forest:
-    """Depth by density, then trees until the target recall; with too many of them, shorter prefixes.
+#: Microseconds that moving a code to one more tree, and comparing it with one more code, roughly take; codes that subtrees
+#: should have at most on average, so that a task's share stays small; codes of a leaf within a task.
+MOVE, COMPARE, ROOM, LEAF = 7.0, 0.005, 4096, 256
 
-    A tree's prefix is drawn from the bits without replacement: it misses all `near` differing bits with the probability p."""
-    depth = max(0, min(40, math.ceil(math.log2(max(1, count) / leaf))))
-    while (p := math.comb(BITS - near, depth) / math.comb(BITS, depth)) < 1 and (not p or math.log(1 - recall) / math.log1p(-p) > max_trees):
-        depth -= 1
-    trees = math.ceil(math.log(1 - recall) / math.log1p(-p)) if p < 1 else 1
-    rng = np.random.default_rng(seed)
-    return Forest(np.array([rng.permutation(BITS) for _ in range(trees)]), depth)
 
+def meeting(depth: int, near: int, bits: int = BITS) -> float:
+    """The probability that `depth` bits of `bits`, drawn without replacement, miss all `near` differing ones."""
+    return math.comb(bits - near, depth) / math.comb(bits, depth) if bits - near >= depth else 0.0
 
-def links(key: np.ndarray, side: np.ndarray, weight: np.ndarray, code: np.ndarray, masks: np.ndarray, near: int, verify: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (i, j) of rows of equal keys; a pair that an earlier tree brings together is left to that tree.
 
-    Rows are sorted by key. side: rows of one side aren't compared with each other unless it is -1."""
-    x = code.view(np.uint64)
-    end = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
-    left = np.repeat(end, np.diff(np.append(0, end))) - np.arange(len(key))
-    tree = key >> 48
-    a, one, two = np.arange(len(key)), [], []
+def tries(depth: int, near: int, recall: float, bits: int = BITS) -> float:
+    """How many tries of a depth find a pair at distance `near` with the target probability."""
+    p = meeting(depth, near, bits)
+    return math.ceil(math.log(1 - recall) / math.log1p(-p)) if 0 < p < 1 else 1 if p else math.inf
+
+
+def descent(count: float, near: int, recall: float, bits: int) -> tuple[float, int, int]:
+    """Comparisons a code among `count` codes, and the depth and number of the tries to make them in; depth 0: all pairs.
+
+    A try costs about 100 comparisons a code besides its own."""
+    best = (count / 2, 0, 1)
+    for depth in range(1, min(24, bits)):
+        if (n := tries(depth, near, recall, bits)) < math.inf:
+            best = min(best, (n * (count / 2**depth / 2 + 100), depth, n))
+    return best
+
+
+def plan(count: int, near: int = 28, recall: float = 0.99, seed: int = 5) -> Forest:
+    """The depth, from one that leaves about ROOM codes on, whose tries cost least: each moves every code, and its subtrees are
+    searched as descent() says. So trees are added as count ** 0.36 or so, and neither they nor the comparisons a code ever grow in proportion to the table."""
+    cost = lambda d: tries(d, near, recall) * (MOVE + COMPARE * descent(count / 2**d, near, recall, BITS - d)[0])
+    least = max(0, math.ceil(math.log2(max(1, count) / ROOM)))
+    while least and tries(least, near, recall) > 1 << 14:  # climb: subtrees of more codes are searched by several tasks
+        least -= 1
+    depth = min([d for d in range(least, 41) if tries(d, near, recall) <= 1 << 14], key=cost)
+    rng = np.random.default_rng(seed)
+    return Forest(np.array([rng.permutation(BITS) for _ in range(int(tries(depth, near, recall)))]), depth)
+
+
+def together(group: np.ndarray, side: np.ndarray, x: np.ndarray, near: int, verify: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs (i, j) of rows of one group; rows are sorted by group. side: rows of one side aren't compared with each
+    other unless it is -1."""
+    end = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+    left = np.repeat(end, np.diff(np.append(0, end))) - np.arange(len(group))
+    a, one, two = np.arange(len(group)), [], []
     for k in range(1, int(left.max(initial=1))):
         a = a[left[a] > k]
         b = a + k
@@ -129,6 +154,65 @@ def links(key: np.ndarray, side: np.ndarray, weight: np.ndarray, code: np.ndarra
             one.append(i[ok])
             two.append(j[ok])
     i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (one, two))
+    return i, j
+
+
+def leaves_of(key: np.ndarray, depth: int, leaf: int) -> np.ndarray:
+    """A trie over keys of `depth` bits: each key's leaf, the shortest prefix that at most `leaf` keys have, or all its bits."""
+    order = np.argsort(key)
+    by, out, todo = key[order], np.zeros(len(key), np.int64), np.ones(len(key), bool)
+    for d in range(depth + 1):
+        prefix = by >> (depth - d)
+        new = np.append(True, prefix[1:] != prefix[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(by)))
+        small = np.repeat((size <= leaf) | (d == depth), size) & todo
+        out[order[small]] = (prefix[small] << 6) | d
+        todo &= ~small
+        if not todo.any():
+            break
+    return out
+
+
+def dense(side: np.ndarray, x: np.ndarray, used: np.ndarray, near: int, verify: int, recall: float, seed: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs of one subtree's rows, by tries over the bits that aren't used; each pair once."""
+    free = np.flatnonzero(~used)
+    _, depth, many = descent(len(x), near, recall, len(free))
+    bits = np.unpackbits(np.ascontiguousarray(x[:, :2]).view(np.uint8).reshape(len(x), 16), axis=1)
+    rng, seen, one, two = np.random.default_rng(seed), [], [], []
+    for _ in range(int(many)):
+        key = bits[:, rng.permutation(free)[:depth]].astype(np.int64) @ (np.int64(1) << np.arange(depth, dtype=np.int64)[::-1])
+        group = leaves_of(key, depth, leaf)
+        order = np.argsort(group, kind="stable")
+        i, j = together(group[order], side[order], x[order], near, verify)
+        i, j = order[i], order[j]
+        new = np.ones(len(i), bool)
+        for other in seen:
+            new &= other[i] != other[j]
+        seen.append(group)
+        one.append(i[new])
+        two.append(j[new])
+    return np.concatenate(one), np.concatenate(two)
+
+
+def links(key: np.ndarray, side: np.ndarray, code: np.ndarray, forest: Forest, near: int, verify: int, recall: float, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs (i, j) of rows of equal keys; a pair that an earlier tree brings together is left to that tree.
+
+    Rows are sorted by key, which has the tree on top. Where a forest of its own saves comparisons, a key's rows have one."""
+    x, masks = code.view(np.uint64), forest.masks()
+    first = np.flatnonzero(np.append(True, np.diff(key) != 0)) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    deep = np.array([n > 2 * leaf and descent(n, near, recall, BITS - forest.depth)[1] > 0 for n in size], bool)
+    plain = np.flatnonzero(np.repeat(~deep, size))
+    i, j = together(key[plain], side[plain], x[plain], near, verify)
+    one, two = [plain[i]], [plain[j]]
+    for a, n in zip(first[deep], size[deep]):
+        used = np.zeros(BITS, bool)
+        used[forest.order[key[a] >> 48][: forest.depth]] = True
+        i, j = dense(side[a : a + n], x[a : a + n], used, near, verify, recall, int(key[a] >> 48), leaf)
+        one.append(i + a)
+        two.append(j + a)
+    i, j, tree = np.concatenate(one), np.concatenate(two), key >> 48
     fresh = np.ones(len(i), bool)
     for t in range(int(tree.max(initial=0))):
         far = ((x[i, 0] ^ x[j, 0]) & masks[t, 0]) | ((x[i, 1] ^ x[j, 1]) & masks[t, 1])
@@ -158,8 +242,8 @@ def components(edges: DataFrame) -> DataFrame:
     e, seen = keep(edges.filter("u <> v").distinct(), "edges"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = keep(both.join(m, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("deg"))
+        large = keep(join_uneven(both, m, ["u"], "deg").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         m = down.groupBy("u").agg(F.min("v").alias("m"))
         e = keep(down.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small")
@@ -184,21 +268,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keep(cols.mapInArrow(sign, f"id {kind}, text_hash long, node long, c0 long, c1 long, c2 long, c3 long, len long"), "signatures")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 28, verify: int = 36, chunk: int = 20_000, **how) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 28, verify: int = 36, recall: float = 0.99, chunk: int = 50_000, leaf: int = LEAF, forest: Forest | None = None) -> DataFrame:
     """One row for each document: id, class_id (the smallest id of its class), n_links (how many different texts its text is
     linked with) and n_copies (other documents of the same text).
 
     Two texts are linked if their words' codes differ in at most `near` bits and their pairs' codes in at most `verify`,
-    whatever their lengths; classes are what links and equal texts connect. Equal texts, and texts of equal codes and lengths, are one vertex, so their pairs
-    are counted, not listed. Null and empty texts are copies of each other. A leaf of more than `chunk` vertices is compared in
-    blocks, each a task's share; only counts and a spanning forest leave a block. Null ids take part; a class of null ids
+    whatever their lengths; classes are what links and equal texts connect. A pair at the bound of `near` bits is found with
+    probability `recall` (and, where a subtree has a forest of its own, that once more), nearer ones likelier; `forest`
+    replaces the planned one. Equal texts, and texts of equal codes and lengths, are one vertex, so their pairs are counted, not
+    listed. Null and empty texts are copies of each other. A subtree of more than `chunk` vertices is searched in pairs of
+    blocks, each a task's share; only counts and a spanning forest leave a task. Null ids take part; a class of null ids
     alone has a null class_id. Repeated rows each return. Other columns are not read. An empty table gives no rows."""
     spark = docs.sparkSession
     sig = signatures(docs, id_col, text_col)
     texts = keep(sig.groupBy("node", "text_hash", *CODE).agg(F.min("id").alias("low"), F.count("*").alias("n")), "texts")
     nodes = keep(texts.groupBy("node", *CODE).agg(F.min("low").alias("low"), F.count("*").alias("w")), "nodes")
-    forest = plan(nodes.count(), near=near, **how)
-    masks = forest.masks()
+    forest = forest or plan(nodes.count(), near, recall)
     vertices = nodes.select("w", *CODE)
 
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -244,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         block = np.append(0, np.cumsum((part[1:, :3] != part[:-1, :3]).any(axis=1)))
         key = (part[:, 0] >> 48 << 48) | block  # one key a block, the tree on top
         code = np.ascontiguousarray(part[:, 5:10])
-        i, j = links(key, part[:, 3], part[:, 4], code, masks, near, verify)
+        i, j = links(key, part[:, 3], code, forest, near, verify, recall, leaf)
         if not len(i):
             return
         ids, label = node_ids(code), spanning(i, j, len(part))
@@ -258,9 +343,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = met.groupBy("u").agg(F.sum("n").alias("degree"))
     named = nodes.select("node", "low", "w").join(degree.withColumnRenamed("u", "node"), "node", "left").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = keep(named, "named")
-    classes = named.groupBy("root").agg(F.min("low").alias("class_id"))
-    known = texts.select("node", "text_hash", "n").join(named.join(classes, "root").select("node", "class_id", (F.col("w") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links")), "node")
-    out = sig.select("id", "node", "text_hash").join(known, ["node", "text_hash"])
+    classes = named.groupBy("root").agg(F.min("low").alias("class_id"), F.count("*").alias("members"))
+    known = join_uneven(named, classes, ["root"], "members").select("node", "class_id", (F.col("w") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
+    known = keep(texts.select("node", "text_hash", "n").join(known, "node"), "known")
+    out = join_uneven(sig.select("id", "node", "text_hash"), known, ["node", "text_hash"], "n")
     return out.select(F.col("id").alias(id_col), "class_id", "n_links", (F.col("n") - 1).alias("n_copies"))
 
 

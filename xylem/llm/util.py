@@ -164,6 +164,17 @@ def numbered(df: DataFrame, group: str | None, order: list[str], rank: str = "ra
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_at") - F.col("_from")).alias(rank), F.col("_all").alias(size))
 
 
+def join_uneven(left: DataFrame, right: DataFrame, on: list[str], weight: str, parts: int = 1000) -> DataFrame:
+    """Inner join of left with right, whose keys are distinct and not null; weight: how many rows of left have each key.
+
+    Keys of more than 1 / parts of all rows are fewer than parts, so they are broadcast, and their rows of left stay where
+    they are; all others are small enough to be shuffled by key."""
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(right.filter(F.col(weight) > total / parts))
+    rest = left.join(hot.select(*on), on, "left_anti")
+    return left.join(hot, on).unionByName(rest.join(right.filter(F.col(weight) <= total / parts), on))
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     """df written once to the shared folder with _rid, a number that tells its rows apart."""
     return keep(df.withColumn("_rid", F.monotonically_increasing_id()), "rows")
