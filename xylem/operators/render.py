@@ -79,12 +79,20 @@ def to_text(report: Report, docs: DataFrame | None = None) -> DataFrame:
     return base.join(rows, "doc_id", "left").join(n, "doc_id", "left").select("doc_id", F.concat(F.array_join(F.transform(F.coalesce("parts", F.array().cast("array<string>")), lambda x: F.concat(x, F.lit("\n"))), ""), end).alias("text"))
 
 
-def to_json(report: Report) -> DataFrame:
-    """doc_id and json: the findings as a tree of patterns, fired rules and assertions."""
+def to_json(report: Report, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id and json: the findings as a tree of all active patterns, fired rules and assertions.
+
+    docs: the documents to render (column doc_id), so that those in which nothing fired get a report, too."""
     found = report.findings.groupBy("doc_id", "pattern_ix", "pre", "rule_ix").agg(F.array_sort(F.collect_list(F.struct("assert_ix", "kind", "test", "location", "text", "id", "role", "flag", "see", "icon", "fpi", "diagnostics", "properties"))).alias("assertions"))
     fired = report.fired_rules.join(found, ["doc_id", "pattern_ix", "pre", "rule_ix"], "left")
-    rules = fired.groupBy("doc_id", "pattern_ix", "pattern_id").agg(F.array_sort(F.collect_list(F.struct("pre", "rule_id", "context", "role", "flag", "location", F.coalesce("assertions", F.array().cast(found.schema["assertions"].dataType)).alias("assertions")))).alias("rules"))
-    patterns = rules.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pattern_ix", "pattern_id", "rules"))).alias("patterns"))
+    fired = fired.withColumn("assertions", F.coalesce("assertions", F.array().cast(found.schema["assertions"].dataType)))
+    rules = fired.groupBy("doc_id", "pattern_ix").agg(F.array_sort(F.collect_list(F.struct("pre", "rule_id", "context", "role", "flag", "location", "assertions"))).alias("rules"))
+    base = (docs if docs is not None else ids(report)).select("doc_id").distinct()
+    heads = base.sparkSession.createDataFrame(report.patterns, "pattern_ix int, pattern_id string, name string")
+    all_ = base.select("doc_id", F.explode(F.array(*[F.lit(i) for i, _, _ in report.patterns]) if report.patterns else F.array().cast("array<int>")).alias("pattern_ix")).join(F.broadcast(heads), "pattern_ix")
+    all_ = all_.join(rules, ["doc_id", "pattern_ix"], "left").withColumn("rules", F.coalesce("rules", F.array().cast(rules.schema["rules"].dataType)))
+    patterns = all_.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pattern_ix", "pattern_id", "name", "rules"))).alias("patterns"))
+    patterns = base.join(patterns, "doc_id", "left").withColumn("patterns", F.coalesce("patterns", F.array().cast(patterns.schema["patterns"].dataType)))
     return patterns.select("doc_id", F.to_json(F.struct(F.lit(report.schema.title).cast("string").alias("title"), F.lit(report.phase).cast("string").alias("phase"), "patterns")).alias("json"))
 
 

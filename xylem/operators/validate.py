@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xylem.plans.calls import first
-from xylem.plans.lift import KEY, NODE, Env, Frame, Val, compile_, frame, gather, matches, node_set, to_bool, to_str
+from xylem.plans.lift import KEY, NODE, Env, Frame, Val, compile_, frame, fresh, gather, matches, node_set, to_bool, to_str
 from xylem.plans.schema import Assertion, Rule, Schema, SchemaError
 from xylem.sources.shred import nodes as shred_nodes
 
@@ -73,13 +74,15 @@ def validate_nodes(nodes: DataFrame, schema: Schema, phase: str | None = None, m
     env = Env(nodes.filter("kind <> 'error'"), schema.namespaces, {k.name: [(schema.trees[k.match], schema.trees[k.use])] for k in schema.keys}, schema.binding == 2, time.time() if now is None else now, timezone)
     kind = nodes.schema["doc_id"].dataType.simpleString()
     spark = nodes.sparkSession
-    if any(mark in source for source in schema.trees for mark in ("xs:", "-from-", " to ", "current-")):
+    if any(mark in source for source in schema.trees for mark in ("xs:", "-from-", " to ", "current-", " eq ", " ne ", " lt ", " le ", " gt ", " ge ")):
         # such expressions may raise, and shared subexpressions are computed even for nodes that the context leaves out
         spark.conf.set("spark.sql.subexpressionElimination.enabled", "false")
     fired, found = spark.createDataFrame([], FIRED.format(id=kind)), spark.createDataFrame([], FINDING.format(id=kind))
     top = schema.lets + phase_lets
     for ix in chosen:
         pattern = schema.patterns[ix]
+        if pattern.documents is not None:
+            raise SchemaError("pattern/@documents is not supported")
         outer = [*top, *pattern.lets]
         hits = claims(pattern.rules, schema, env)
         if hits is None:
@@ -110,12 +113,33 @@ def claims(rules: list[Rule], schema: Schema, env: Env) -> DataFrame | None:
     return both.withColumn("_n", F.row_number().over(first_)).filter("_n = 1").drop("_n")
 
 
-def bind(f: Frame, lets: list, schema: Schema) -> None:
+def settled(v: Val, f: Frame) -> tuple[Val, list[Column]]:
+    """A value whose columns are computed in the frame, and those columns."""
+    if v.kind == "if":
+        c, parts = f.column(v.col, "let"), [settled(x, f) for x in v.name]
+        return Val("if", c, name=tuple(x for x, _ in parts)), [c, *(y for _, cols in parts for y in cols)]
+    if v.kind in ("ns", "one", "attr"):
+        return v, []
+    c = f.column(v.col, "let")
+    return Val(v.kind, c, name=v.name), [c]
+
+
+def bind(f: Frame, lets: list, schema: Schema) -> list[Column]:
+    used = []
     for let in lets:
-        v = compile_(schema.trees[let.value], f)
-        if v.kind in ("b", "n", "s"):
-            v = Val(v.kind, f.column(v.col, "let"))
+        v, cols = settled(compile_(schema.trees[let.value], f), f)
+        used += cols
         f.vars = f.vars | {let.name: v}
+    return used
+
+
+def detached(v: Val, root: Frame) -> Val:
+    """A value of the root's frame for use in frames of other nodes: its nodes are keyed by the document alone."""
+    if v.kind == "if":
+        return Val("if", v.col, name=tuple(detached(x, root) for x in v.name))
+    if v.kind in ("ns", "one", "attr"):
+        return Val("ns", df=node_set(v, root), depth=-1)
+    return v
 
 
 def scoped(hits: DataFrame, outer: list, rule: Rule, schema: Schema, env: Env) -> Frame:
@@ -123,18 +147,10 @@ def scoped(hits: DataFrame, outer: list, rule: Rule, schema: Schema, env: Env) -
     f = frame(hits, env)
     if outer:
         root = frame(env.table(F.col("kind") == "root").withColumnRenamed("n_doc", "doc_id"), env)
-        bind(root, outer, schema)
-        names, scalars = {}, []
-        for name, v in root.vars.items():
-            if v.kind in ("attr", "one"):
-                v = Val("ns", df=node_set(v, root), depth=1)
-            if v.kind == "ns":
-                names[name] = Val("ns", df=v.df, depth=-1)
-            else:
-                names[name] = v
-                scalars.append(v.col)
-        if scalars:
-            f.df = f.df.join(root.df.select("doc_id", *scalars), "doc_id")
+        used = bind(root, outer, schema)
+        names = {name: detached(v, root) for name, v in root.vars.items()}
+        if used:
+            f.df = f.df.join(root.df.select("doc_id", *used), "doc_id")
         f.vars = names
     bind(f, rule.lets, schema)
     return f
@@ -158,17 +174,22 @@ def message(parts: list, f: Frame, schema: Schema) -> Column:
 def fire(hits: DataFrame, ix: int, pattern_id: str | None, rx: int, rule: Rule, schema: Schema, env: Env, outer: list) -> tuple[DataFrame, list[DataFrame]]:
     text = lambda x: F.lit(x).cast("string")
     fired = hits.select("doc_id", F.lit(ix).alias("pattern_ix"), text(pattern_id).alias("pattern_id"), F.col("c_pre").alias("pre"), F.lit(rx).alias("rule_ix"), text(rule.id).alias("rule_id"), text(rule.context).alias("context"), text(rule.role).alias("role"), text(rule.flag).alias("flag"), F.col("c_loc").alias("location"))
-    out = []
-    for ax, a in enumerate(rule.assertions):
-        f = scoped(hits, outer, rule, schema, env)
+    if not rule.assertions:
+        return fired, []
+    f = scoped(hits, outer, rule, schema, env)
+    says = []
+    for a in rule.assertions:
         ok = to_bool(compile_(schema.trees[a.test], f), f)
-        # messages are built for what is reported alone
-        f.df = f.df.filter(~ok if a.kind == "assert" else ok)
-        out.append(finding(f, ix, pattern_id, rx, ax, rule, a, schema))
-    return fired, out
+        says.append(f.column(~ok if a.kind == "assert" else ok, "says"))
+    # all tests are columns of one plan; messages are built for nodes of which something is reported, each where it is
+    f.df = f.df.filter(functools.reduce(Column.__or__, says))
+    rows = [F.when(x, finding(f, ix, pattern_id, rx, ax, rule, a, schema)) for ax, (a, x) in enumerate(zip(rule.assertions, says))]
+    keep = fresh("found")
+    f.df = f.df.withColumn(keep, F.array_compact(F.array(*rows)))
+    return fired, [f.df.select("doc_id", F.explode(keep).alias("_x")).select("doc_id", "_x.*")]
 
 
-def finding(f: Frame, ix: int, pattern_id: str | None, rx: int, ax: int, rule: Rule, a: Assertion, schema: Schema) -> DataFrame:
+def finding(f: Frame, ix: int, pattern_id: str | None, rx: int, ax: int, rule: Rule, a: Assertion, schema: Schema) -> Column:
     text = lambda x: F.lit(x).cast("string")
     body = message(a.content, f, schema)
     subject = a.subject or rule.subject
@@ -179,8 +200,8 @@ def finding(f: Frame, ix: int, pattern_id: str | None, rx: int, ax: int, rule: R
     diagnostics = [F.struct(text(d).alias("id"), message(schema.diagnostics[d], f, schema).alias("text")) for d in a.diagnostics]
     properties = [F.struct(text(p).alias("id"), text(schema.properties[p][0]).alias("role"), text(schema.properties[p][1]).alias("scheme"), message(schema.properties[p][2], f, schema).alias("text")) for p in a.properties]
     empty = lambda cols, kind: F.array(*cols).cast(kind)
-    return f.df.select(
-        "doc_id", F.lit(ix).alias("pattern_ix"), text(pattern_id).alias("pattern_id"), F.col("c_pre").alias("pre"), F.lit(rx).alias("rule_ix"), F.lit(ax).alias("assert_ix"), text(a.kind).alias("kind"), text(a.test).alias("test"), where.alias("location"), body.alias("text"), text(a.id).alias("id"), text(a.role or rule.role).alias("role"), text(a.flag or rule.flag).alias("flag"), text(a.see).alias("see"), text(a.icon).alias("icon"), text(a.fpi).alias("fpi"),
+    return F.struct(
+        F.lit(ix).alias("pattern_ix"), text(pattern_id).alias("pattern_id"), F.col("c_pre").alias("pre"), F.lit(rx).alias("rule_ix"), F.lit(ax).alias("assert_ix"), text(a.kind).alias("kind"), text(a.test).alias("test"), where.alias("location"), body.alias("text"), text(a.id).alias("id"), text(a.role or rule.role).alias("role"), text(a.flag or rule.flag).alias("flag"), text(a.see).alias("see"), text(a.icon).alias("icon"), text(a.fpi).alias("fpi"),
         empty(diagnostics, "array<struct<id:string,text:string>>").alias("diagnostics"), empty(properties, "array<struct<id:string,role:string,scheme:string,text:string>>").alias("properties"),
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from xylem.functions import scalars as S
 from xylem.functions import temporal as T
-from xylem.plans.lift import KEY, NODE, SCALAR, SEQUENCE, Frame, Unsupported, Val, compile_, fresh, frame, gather, matches, node_set, numbers, sequence, texts, to_bool, to_num, to_str
+from xylem.plans.lift import KEY, NODE, SCALAR, SEQUENCE, Frame, Unsupported, Val, choose, compile_, fresh, frame, gather, matches, node_set, numbers, sequence, texts, to_bool, to_num, to_str
 from xylem.plans.xpath import XPathError
 
 ANY = 99
@@ -29,8 +29,16 @@ MAKE = {f"xs:{t}": t for t in ("date", "dateTime", "time", "dayTimeDuration", "y
 ARITY_2 |= {k: (1, 1) for k in (*PARTS, *ZONES, *SPANS, *MAKE)} | {k: (0, 0) for k in (*NOW, "implicit-timezone")}
 
 
+#: Functions of XPath 2.0 that are refused, and why.
+REFUSED = dict.fromkeys(("subsequence", "insert-before", "remove", "reverse", "unordered", "for-each"), "it returns a changed sequence of items, which plans don't carry") | dict.fromkeys(("duration", "adjust-date-to-timezone", "adjust-dateTime-to-timezone", "adjust-time-to-timezone"), "it needs parts of the date and time types that aren't kept") | dict.fromkeys(("data", "deep-equal", "trace", "resolve-uri"), "it isn't implemented")
+
+
 def check(name: str, n: int, two: bool) -> None:
     known = ARITY.get(name) or (ARITY_2.get(name) if two else None)
+    if not known and name in REFUSED:
+        raise XPathError(f"{name}() is a function of XPath 2.0 that is refused: {REFUSED[name]}")
+    if not known and name in ARITY_2:
+        raise XPathError(f"{name}() needs the XPath 2.0 binding")
     if not known:
         raise XPathError(f"unknown function {name}()")
     if not known[0] <= n <= known[1]:
@@ -63,7 +71,13 @@ def call(name: str, args: list, f: Frame) -> Val:
         return Val("b", F.lit(name == "true"))
     if name == "current":
         return Val("one", prefix="cur_")
-    v = [compile_(a, f) for a in args]
+    return apply(name, args, [compile_(a, f) for a in args], f)
+
+
+def apply(name: str, args: list, v: list[Val], f: Frame) -> Val:
+    for i, x in enumerate(v):
+        if x.kind == "if":
+            return choose(x.col, *(apply(name, args, [*v[:i], y, *v[i + 1 :]], f) for y in x.name), f)
     here = v[0] if v else Val("one", prefix="c_")
     text = lambda i: to_str(v[i], f)
     num = lambda i: to_num(v[i], f)
@@ -84,7 +98,7 @@ def call(name: str, args: list, f: Frame) -> Val:
     if name in SPANS:
         kind = "yearMonthDuration" if SPANS[name] in ("years", "months") else "dayTimeDuration"
         if here.kind == "u" and here.name != kind:
-            return Val("n", F.lit(0.0))
+            raise XPathError(f"{name}() needs an xs:{kind}")
         return Val("n", T.duration_part(here.col if here.kind == "u" else T.duration(text(0), kind), SPANS[name]))
     if name == "tokenize":
         return Val("qs", F.split(text(0), S.regex(literal(args[1], "a pattern"), literal(args[2], "flags") if len(v) > 2 else ""), -1))
@@ -120,12 +134,14 @@ def call(name: str, args: list, f: Frame) -> Val:
         bad = F.max(F.isnan(x))
         return Val("n", gather(here, f, S.NAN, F.when(bad, S.nan()).otherwise({"min": F.min, "max": F.max, "avg": F.avg}[name](x))))
     if name == "local-name":
-        return Val("s", first(here, f, "local") if here.kind != "attr" else attr_name(here, f, True))
+        return Val("s", first(here, f, "local") if here.kind != "attr" else attr_name(here))
     if name == "namespace-uri":
         return Val("s", first(here, f, "uri") if here.kind != "attr" else first(Val("ns", df=node_set(here, f), depth=f.depth), f, "uri"))
     if name == "name":
-        if here.kind == "attr":
-            return Val("s", attr_name(here, f, False))
+        if here.kind == "attr" and not here.name[0][1]:
+            return Val("s", attr_name(here))
+        if here.kind == "attr":  # the document's prefix, which needn't be the schema's
+            here = Val("ns", df=node_set(here, f), depth=f.depth)
         prefix, local = first(here, f, "prefix"), first(here, f, "local")
         return Val("s", F.when(prefix == "", local).otherwise(F.concat(prefix, F.lit(":"), local)))
     if name == "string":
@@ -193,10 +209,8 @@ def over_sequence(name: str, here: Val, v: list[Val], f: Frame) -> Val:
     return Val("n", F.when(bad, S.nan()).otherwise(value))
 
 
-def attr_name(v: Val, f: Frame, local: bool) -> Column:
-    test = v.name[0]
-    text = test[2] if local or not test[1] else f"{test[1]}:{test[2]}"
-    return F.when(v.col.isNotNull(), text).otherwise("")
+def attr_name(v: Val) -> Column:
+    return F.when(v.col.isNotNull(), v.name[0][2]).otherwise("")
 
 
 def wanted(v: Val, f: Frame) -> "object":

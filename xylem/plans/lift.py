@@ -8,6 +8,7 @@ predicates are windows. A predicate opens a frame of its own, whose iterations a
 
 from __future__ import annotations
 
+import functools
 import itertools
 from dataclasses import dataclass, field, replace
 
@@ -36,7 +37,7 @@ class Unsupported(XPathError):
 
 @dataclass
 class Val:
-    """kind: b, n, s (column), ns (df), one (a node in columns prefix + NODE, where present), attr (an attribute's value or null),
+    """kind: b, n, s (column), if (one of the two values in name, by a boolean column), ns (df), one (a node in columns prefix + NODE, where present), attr (an attribute's value or null),
     qn and qs (sequences: columns of arrays of numbers and of texts), t (a date or time: its text) and u (a duration: seconds
     or months), both with the type's local name in name.
 
@@ -194,7 +195,13 @@ def gather(v: Val, f: Frame, default, agg: Column) -> Column:
     return F.coalesce(F.col(name), F.lit(default))
 
 
+def either(v: Val, use) -> Column:
+    return F.when(v.col, use(v.name[0])).otherwise(use(v.name[1]))
+
+
 def to_bool(v: Val, f: Frame) -> Column:
+    if v.kind == "if":
+        return either(v, lambda x: to_bool(x, f))
     if v.kind == "b":
         return v.col
     if v.kind == "n":
@@ -214,6 +221,8 @@ def to_bool(v: Val, f: Frame) -> Column:
 
 
 def to_str(v: Val, f: Frame) -> Column:
+    if v.kind == "if":
+        return either(v, lambda x: to_str(x, f))
     if v.kind == "s":
         return v.col
     if v.kind == "b":
@@ -241,6 +250,11 @@ def sequence(v: Val, f: Frame) -> Val:
     """Any value as a sequence of numbers or texts, nodes in document order."""
     if v.kind in SEQUENCE:
         return v
+    if v.kind == "if":
+        one, two_ = (sequence(x, f) for x in v.name)
+        if one.kind == two_.kind:
+            return Val(one.kind, F.when(v.col, one.col).otherwise(two_.col))
+        return Val("qs", F.when(v.col, texts(one)).otherwise(texts(two_)))
     if v.kind == "n":
         return Val("qn", F.array(v.col))
     if v.kind in SCALAR | TEMPORAL:
@@ -279,6 +293,8 @@ def replace_vars(f: Frame, more: dict[str, Val]) -> Frame:
 
 
 def to_num(v: Val, f: Frame) -> Column:
+    if v.kind == "if":
+        return either(v, lambda x: to_num(x, f))
     if v.kind == "n":
         return v.col
     if v.kind == "qn":
@@ -310,7 +326,15 @@ def compile_(e: tuple, f: Frame) -> Val:
     if kind == "path":
         return path(e, f)
     if kind == "filter":
-        df = node_set(compile_(e[1], f), f)
+        base = compile_(e[1], f)
+        if base.kind in SCALAR | SEQUENCE:
+            base = sequence(base, f)
+            for p in e[2]:
+                if p[0] != "num":
+                    raise Unsupported("items that aren't nodes are chosen by number")
+                base = Val(base.kind, F.slice(base.col, int(p[1]), 1) if p[1] >= 1 and p[1] == int(p[1]) else F.slice(base.col, 1, 0))
+            return base
+        df = node_set(base, f)
         for p in e[2]:
             df = predicate(df.withColumn("s_pre", F.lit(-1)), Window.partitionBy(*KEY), F.col("c_pre"), p, f).drop("s_pre")
         return Val("ns", df=df, depth=f.depth)
@@ -330,15 +354,7 @@ def two(e: tuple, f: Frame) -> Val:
         raise XPathError(f"{kind} needs the XPath 2.0 binding")
     if kind == "if":
         c, a, b = to_bool(compile_(e[1], f), f), compile_(e[2], f), compile_(e[3], f)
-        if a.kind == b.kind == "b":
-            return Val("b", F.when(c, a.col).otherwise(b.col))
-        if a.kind == b.kind == "n":
-            return Val("n", F.when(c, a.col).otherwise(b.col))
-        if a.kind in ("ns", "one") and b.kind in ("ns", "one"):
-            flag = f.column(c, "c")
-            parts = [node_set(x, f).join(f.df.filter(flag if y else ~flag).select(*KEY), KEY, "left_semi") for x, y in ((a, True), (b, False))]
-            return Val("ns", df=parts[0].unionByName(parts[1], allowMissingColumns=True), depth=f.depth)
-        return Val("s", F.when(c, to_str(a, f)).otherwise(to_str(b, f)))
+        return choose(c, a, b, f)
     if kind in ("some", "every"):
         return quantified(kind, e[1], e[2], f)
     if kind in ("castable", "cast"):
@@ -426,8 +442,10 @@ def loop(binds: list, body: tuple, f: Frame) -> Val:
     (name, source), rest = binds[0], binds[1:]
     inner = ("for", rest, body) if rest else body
     v = compile_(source, f)
-    if v.kind in SCALAR | SEQUENCE:
+    if v.kind in SCALAR | SEQUENCE | {"if"}:
         v = sequence(v, f)
+        if looks(inner):
+            return gathered(inner, f, *over_items(v, name, f))
         kinds: list[str] = []
 
         def use(x: Val) -> Column:
@@ -440,9 +458,30 @@ def loop(binds: list, body: tuple, f: Frame) -> Val:
     prefix = fresh("i") + "_"
     items = node_set(v, f).select(*KEY, *[F.col(f"c_{c}").alias(f"{prefix}{c}") for c in NODE])
     g = Frame(f.df.join(items, KEY).withColumn("it", F.concat("it", F.array(F.col(f"{prefix}pre")))), f.depth + 1, f.env, f.vars | {name: Val("one", prefix=prefix)})
+    return gathered(inner, f, g, f"{prefix}pre")
+
+
+def looks(body) -> bool:
+    """Whether an expression holds a path, a function that finds nodes, or a loop of its own."""
+    if isinstance(body, (list, tuple)):
+        if len(body) and body[0] in ("path", "filter", "union", "for", "some", "every") or len(body) > 1 and body[0] == "call" and body[1] in ("key", "id", "current"):
+            return True
+        return any(looks(x) for x in body)
+    return False
+
+
+def over_items(v: Val, name: str, f: Frame) -> tuple[Frame, str]:
+    """A frame with an iteration for each item of a sequence, and the column of the item's place."""
+    at, what = fresh("i"), fresh("i")
+    rows = f.df.select("*", F.posexplode(v.col).alias(at, what)).withColumn("it", F.concat("it", F.array(at)))
+    return Frame(rows, f.depth + 1, f.env, f.vars | {name: Val("n" if v.kind == "qn" else "s", F.col(what))}), at
+
+
+def gathered(inner: tuple, f: Frame, g: Frame, place: str) -> Val:
+    """The values of an inner frame's iterations, as sequences of the outer one's, by the column `place`."""
     got = sequence(compile_(inner, g), g)
     out = fresh("l")
-    all_ = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(f"{prefix}pre").alias("p"), F.col("_got").alias("x")))), lambda r: r["x"]))
+    all_ = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col("_got").alias("x")))), lambda r: r["x"]))
     f.attach(g.df.withColumn("_got", got.col).withColumn("it", F.slice("it", 1, f.depth)).groupBy(*KEY).agg(all_.alias(out)))
     return Val(got.kind, F.coalesce(F.col(out), F.array().cast("array<double>" if got.kind == "qn" else "array<string>")))
 
@@ -450,25 +489,40 @@ def loop(binds: list, body: tuple, f: Frame) -> Val:
 def quantified(kind: str, binds: list, body: tuple, f: Frame) -> Val:
     (name, source), rest = binds[0], binds[1:]
     v = compile_(source, f)
-    if v.kind in SCALAR | SEQUENCE:
+    if v.kind in SCALAR | SEQUENCE | {"if"}:
         v = sequence(v, f)
+        if looks([rest, body]):
+            g = over_items(v, name, f)[0]
+            return counted(kind, to_bool(quantified(kind, rest, body, g) if rest else compile_(body, g), g), f, g)
         each = inside(v, f, name, (kind, rest, body) if rest else body, lambda x: to_bool(x, f))
         return Val("b", F.exists(v.col, each) if kind == "some" else F.forall(v.col, each))
     prefix = fresh("i") + "_"
     items = node_set(v, f).select(*KEY, *[F.col(f"c_{c}").alias(f"{prefix}{c}") for c in NODE])
     inner = f.df.join(items, KEY).withColumn("it", F.concat("it", F.array(F.col(f"{prefix}pre"))))
     g = Frame(inner, f.depth + 1, f.env, f.vars | {name: Val("one", prefix=prefix)})
-    ok = to_bool(quantified(kind, rest, body, g) if rest else compile_(body, g), g)
+    return counted(kind, to_bool(quantified(kind, rest, body, g) if rest else compile_(body, g), g), f, g)
+
+
+def counted(kind: str, ok: Column, f: Frame, g: Frame) -> Val:
     out = fresh("q")
     f.attach(g.df.withColumn("_ok", ok).withColumn("it", F.slice("it", 1, f.depth)).groupBy(*KEY).agg((F.max if kind == "some" else F.min)("_ok").alias(out)))
     return Val("b", F.coalesce(F.col(out), F.lit(kind == "every")))
 
 
+def together(e: tuple, f: Frame) -> Val:
+    """The nodes of a sequence of paths, each once."""
+    parts = [compile_(x, f) for x in e[1]]
+    if any(p.kind not in ("ns", "one", "attr") for p in parts):
+        raise XPathError("a path must begin with nodes")
+    dfs = [node_set(p, f).select(*KEY, *[f"c_{c}" for c in NODE]) for p in parts]
+    return Val("ns", df=functools.reduce(DataFrame.unionByName, dfs).dropDuplicates([*KEY, "c_pre"]), depth=f.depth)
+
+
 def path(e: tuple, f: Frame) -> Val:
     start, steps = e[1], list(e[2])
     node = Val("one", prefix="c_")
     if start not in (None, "root"):
-        node = compile_(start, f)
+        node = together(start, f) if start[0] == "seq" and start[1] else compile_(start, f)
         if node.kind not in ("ns", "one", "attr"):
             raise XPathError("a path must begin with nodes")
     if start == "root":
@@ -498,7 +552,60 @@ def operator(op: str, left: tuple, right: tuple, f: Frame) -> Val:
     if op in ("and", "or"):
         a, b = to_bool(compile_(left, f), f), to_bool(compile_(right, f), f)
         return Val("b", F.when(a, b).otherwise(False) if op == "and" else F.when(a, True).otherwise(b))
-    a, b = compile_(left, f), compile_(right, f)
+    return operate(op, compile_(left, f), compile_(right, f), f)
+
+
+def choose(c: Column, a: Val, b: Val, f: Frame) -> Val:
+    """Either of two values; of different kinds, they stay apart until they are used."""
+    if a.kind == b.kind and a.kind in SCALAR | SEQUENCE | TEMPORAL and a.name == b.name:
+        return Val(a.kind, F.when(c, a.col).otherwise(b.col), name=a.name)
+    nodes = ("ns", "one", "attr")
+    if a.kind in nodes and b.kind in nodes:
+        flag = f.column(c, "c")
+        parts = [node_set(x, f).join(f.df.filter(flag if y else ~flag).select(*KEY), KEY, "left_semi") for x, y in ((a, True), (b, False))]
+        return Val("ns", df=parts[0].unionByName(parts[1], allowMissingColumns=True), depth=f.depth)
+    return Val("if", c, name=(a, b))
+
+
+def single(v: Val, f: Frame) -> tuple[Column, Column, str]:
+    """The number of a value's items, the only one's value, and its type; nodes count as the texts they hold."""
+    if v.kind in TEMPORAL:
+        return F.lit(1), v.col, v.name
+    if v.kind in SEQUENCE:
+        return F.size(v.col), item(v), "number" if v.kind == "qn" else "string"
+    if v.kind == "ns":
+        return gather(v, f, 0, F.count("*")), to_str(v, f), "string"
+    if v.kind in ("one", "attr"):
+        return F.when(to_bool(v, f), 1).otherwise(0), to_str(v, f), "string"
+    return F.lit(1), v.col, {"b": "boolean", "n": "number", "s": "string"}[v.kind]
+
+
+def by_value(op: str, a: Val, b: Val, f: Frame) -> Val:
+    """eq and its like: false where a side is empty; more than one item, or other types on either side, are an error."""
+    (n, x, one), (m, y, two_) = single(a, f), single(b, f)
+    sign = VALUE[op]
+    fail = lambda text: F.raise_error(F.lit(text)).cast("boolean")
+    if one != two_:
+        same = fail(f"{op} compares a {one} with a {two_}; cast one, or use {sign}")
+    elif one in ("date", "dateTime", "time"):
+        same = S.compare(sign, instant(a, one, f), instant(b, one, f))
+    elif one == "string":
+        same = {"eq": x == y, "ne": x != y, "lt": x < y, "le": x <= y, "gt": x > y, "ge": x >= y}[op]
+    else:
+        same = S.compare(sign, x.cast("double"), y.cast("double"))
+    many = fail(f"an operand of {op} has more than one item; {sign} compares any of them")
+    return Val("b", F.when((n == 0) | (m == 0), False).when((n > 1) | (m > 1), many).otherwise(same))
+
+
+def operate(op: str, a: Val, b: Val, f: Frame) -> Val:
+    if a.kind == "if":
+        return choose(a.col, *(operate(op, x, b, f) for x in a.name), f)
+    if b.kind == "if":
+        return choose(b.col, *(operate(op, a, x, f) for x in b.name), f)
+    if op in VALUE:
+        if not f.env.two:
+            raise XPathError(f"{op} needs the XPath 2.0 binding")
+        return by_value(op, a, b, f)
     if TEMPORAL & {a.kind, b.kind}:
         return temporal(op, a, b, f)
     if op in ("+", "-", "*", "div", "mod"):
@@ -506,13 +613,6 @@ def operator(op: str, left: tuple, right: tuple, f: Frame) -> Val:
     if op in ("is", "<<", ">>"):
         x, y = (gather(v, f, -1, F.min("c_pre")) if v.kind != "one" else F.col(f"{v.prefix}pre") for v in (a, b))
         return Val("b", {"is": x == y, "<<": x < y, ">>": x > y}[op] & (x >= 0) & (y >= 0))
-    if op in VALUE:
-        if not f.env.two:
-            raise XPathError(f"{op} needs the XPath 2.0 binding")
-        if "n" in (a.kind, b.kind) and not {"attr", "ns", "one"} & {a.kind, b.kind}:
-            return Val("b", S.compare(VALUE[op], to_num(a, f), to_num(b, f)))
-        x, y = to_str(a, f), to_str(b, f)
-        return Val("b", {"eq": x == y, "ne": x != y, "lt": x < y, "le": x <= y, "gt": x > y, "ge": x >= y}[op])
     nodes = {"ns", "one", "attr", *SEQUENCE}
     if op in ("=", "!="):
         return Val("b", equality(op, a, b, f))
@@ -633,7 +733,7 @@ def matches(e: tuple, env: Env) -> DataFrame:
     if e[0] != "path" or e[1] not in (None, "root"):
         raise XPathError("a context must be a path or a union of paths")
     for axis, _, _ in e[2]:
-        if axis not in ("child", "attribute", "descendant-or-self", "descendant", "self"):
+        if axis not in ("child", "attribute", "descendant-or-self", "self"):
             raise XPathError(f"axis {axis} is not allowed in a context")
     table = lambda cond: env.table(cond).withColumnRenamed("n_doc", "doc_id").withColumn("it", F.array().cast("array<int>"))
     steps = list(e[2])

@@ -182,13 +182,22 @@ def content(e: ET.Element) -> list:
     return out
 
 
+def quoted(text: str) -> str:
+    """The text as an expression."""
+    if "'" not in text:
+        return f"'{text}'"
+    if '"' not in text:
+        return f'"{text}"'
+    return "concat(%s, '')" % ", \"'\", ".join(f"'{part}'" for part in text.split("'"))
+
+
 def lets(e: ET.Element) -> list[Let]:
     out = []
     for c in e:
         if local(c) == "let":
             value = c.get("value")
             if value is None:
-                value = "'%s'" % "".join(c.itertext()).replace("'", "")
+                value = quoted("".join(c.itertext()))
             out.append(Let(need(c, "name"), value))
     return out
 
