@@ -2,6 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import types as T
 
+import xylem.coverage  # noqa: F401
 from xylem.queries import QUERIES, SQL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "conversations"]

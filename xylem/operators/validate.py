@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.errors import utils as pyspark_errors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +71,24 @@ def validate(docs: DataFrame, schema: Schema, phase: str | None = None, id_col:
     return validate_nodes(prepare(shred_nodes(docs, id_col, xml_col, spaces)), schema, phase, max_failures, now, timezone)
 
 
+@contextlib.contextmanager
+def unmarked() -> Iterator[None]:
+    """Columns made meanwhile don't note the lines of Python that made them, which takes most of the time of a large plan."""
+    was = getattr(pyspark_errors, "_enable_debugging_cache", None)
+    pyspark_errors._enable_debugging_cache = False
+    try:
+        yield
+    finally:
+        pyspark_errors._enable_debugging_cache = was
+
+
 def validate_nodes(nodes: DataFrame, schema: Schema, phase: str | None = None, max_failures: int | None = None, now: float | None = None, timezone: int = 0) -> Report:
+    """The report of a node table, as prepare() places it."""
+    with unmarked():
+        return planned(nodes, schema, phase, max_failures, now, timezone)
+
+
+def planned(nodes: DataFrame, schema: Schema, phase: str | None = None, max_failures: int | None = None, now: float | None = None, timezone: int = 0) -> Report:
     errors = nodes.filter("kind = 'error'").select("doc_id", F.col("pre").alias("line"), F.col("end").alias("column"), F.col("value").alias("message"))
     chosen, phase_lets, name = active(schema, phase)
     env = Env(nodes.filter("kind <> 'error'"), schema.namespaces, {k.name: [(schema.trees[k.match], schema.trees[k.use])] for k in schema.keys}, schema.binding == 2, time.time() if now is None else now, timezone)
@@ -130,6 +150,7 @@ def bind(f: Frame, lets: list, schema: Schema) -> list[Column]:
         v, cols = settled(compile_(schema.trees[let.value], f), f)
         used += cols
         f.vars = f.vars | {let.name: v}
+    f.base = f.df
     return used
 
 
@@ -150,7 +171,7 @@ def scoped(hits: DataFrame, outer: list, rule: Rule, schema: Schema, env: Env) -
         used = bind(root, outer, schema)
         names = {name: detached(v, root) for name, v in root.vars.items()}
         if used:
-            f.df = f.df.join(root.df.select("doc_id", *used), "doc_id")
+            f.df = f.base = f.df.join(root.df.select("doc_id", *used), "doc_id")
         f.vars = names
     bind(f, rule.lets, schema)
     return f
@@ -183,6 +204,8 @@ def fire(hits: DataFrame, ix: int, pattern_id: str | None, rx: int, rule: Rule,
         says.append(f.column(~ok if a.kind == "assert" else ok, "says"))
     # all tests are columns of one plan; messages are built for nodes of which something is reported, each where it is
     f.df = f.df.filter(functools.reduce(Column.__or__, says))
+    if f.attached < 2 and sum(k != "text" and not v.startswith("@") for a in rule.assertions for k, v in a.content) <= 3:
+        f.base = f.df  # few nodes are sought: only from where something is reported
     rows = [F.when(x, finding(f, ix, pattern_id, rx, ax, rule, a, schema)) for ax, (a, x) in enumerate(zip(rule.assertions, says))]
     keep = fresh("found")
     f.df = f.df.withColumn(keep, F.array_compact(F.array(*rows)))

@@ -218,15 +218,13 @@ def wanted(v: Val, f: Frame) -> "object":
     if v.kind == "ns":
         return node_set(v, f).select(*KEY, F.col("c_value").alias("w"))
     there = to_bool(v, f) if v.kind in ("one", "attr") else F.lit(True)
-    name = fresh("w")
     text = to_str(v, f)
-    f.df = f.df.withColumn(name, text)
-    return f.df.filter(there).select(*KEY, F.col(name).alias("w"))
+    return f.rows(lambda df: df.filter(there).select(*KEY, text.alias("w")))
 
 
 def joined(found, f: Frame) -> Val:
-    carry = [c for c in f.df.columns if not c.startswith(("c_", "s_"))]
-    rows = f.df.select(*[F.col(f"`{c}`") for c in carry]).join(found.dropDuplicates([*KEY, "c_pre"]), KEY)
+    carry = [c for c in f.base.columns if not c.startswith(("c_", "s_"))]
+    rows = f.base.select(*[F.col(f"`{c}`") for c in carry]).join(found.dropDuplicates([*KEY, "c_pre"]), KEY)
     return Val("ns", df=rows, depth=f.depth)
 
 

@@ -12,6 +12,7 @@ import functools
 import itertools
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +58,27 @@ class Frame:
     depth: int
     env: "Env"
     vars: dict[str, Val] = field(default_factory=dict)
+    base: DataFrame | None = None
+    attached: int = 0
+
+    def __post_init__(self) -> None:
+        self.base = self.df
+
+    def rows(self, use):
+        """use(rows) for the iterations without what has been attached since; with it, where a column of that is needed.
+
+        Node-sets start from these rows, so that a plan grows by what each expression adds, and never holds itself."""
+        try:
+            return use(self.base)
+        except AnalysisException:
+            return use(self.df)
 
     def attach(self, other: DataFrame) -> None:
+        """Joins a column on. A task's memory serves the sorts and aggregates of a few such joins, so now and then a new stage
+        begins."""
+        self.attached += 1
+        if self.attached % 5 == 0:
+            self.df = self.df.repartition("doc_id")
         self.df = self.df.join(other, KEY, "left")
 
     def column(self, col: Column, stem: str = "v") -> Column:
@@ -132,9 +152,13 @@ def axis_join(axis: str) -> Column:
 
 def take(f: Frame, prefix: str, present: Column | None = None) -> DataFrame:
     """The node in columns prefix + NODE of each iteration, as a node-set."""
-    carry = [c for c in f.df.columns if not c.startswith("c_") and not c.startswith("s_")]
-    df = f.df if present is None else f.df.filter(present)
-    return df.select(*[F.col(f"`{c}`") for c in carry], *[F.col(f"{prefix}{c}").alias(f"c_{c}") for c in NODE])
+
+    def use(df: DataFrame) -> DataFrame:
+        carry = [c for c in df.columns if not c.startswith("c_") and not c.startswith("s_")]
+        df = df if present is None else df.filter(present)
+        return df.select(*[F.col(f"`{c}`") for c in carry], *[F.col(f"{prefix}{c}").alias(f"c_{c}") for c in NODE])
+
+    return f.rows(use)
 
 
 def step(df: DataFrame, one: bool, axis: str, test: tuple, preds: list, f: Frame) -> tuple[DataFrame, bool]:
@@ -179,8 +203,8 @@ def node_set(v: Val, f: Frame) -> DataFrame:
         raise XPathError("a node-set is needed")
     if v.depth == f.depth:
         return v.df
-    carry = [c for c in f.df.columns if not c.startswith(("c_", "s_"))]
-    here = f.df.select(*[F.col(f"`{c}`") for c in carry], *([F.slice("it", 1, v.depth).alias("o_it")] if v.depth >= 0 else []))
+    carry = [c for c in f.base.columns if not c.startswith(("c_", "s_"))]
+    here = f.base.select(*[F.col(f"`{c}`") for c in carry], *([F.slice("it", 1, v.depth).alias("o_it")] if v.depth >= 0 else []))
     there = v.df.select(F.col("doc_id").alias("o_doc"), F.col("it").alias("o_key"), *[f"c_{c}" for c in NODE])
     on = F.col("doc_id") == F.col("o_doc")
     if v.depth >= 0:
@@ -457,7 +481,7 @@ def loop(binds: list, body: tuple, f: Frame) -> Val:
         return Val(kinds[-1], out)
     prefix = fresh("i") + "_"
     items = node_set(v, f).select(*KEY, *[F.col(f"c_{c}").alias(f"{prefix}{c}") for c in NODE])
-    g = Frame(f.df.join(items, KEY).withColumn("it", F.concat("it", F.array(F.col(f"{prefix}pre")))), f.depth + 1, f.env, f.vars | {name: Val("one", prefix=prefix)})
+    g = Frame(f.base.join(items, KEY).withColumn("it", F.concat("it", F.array(F.col(f"{prefix}pre")))), f.depth + 1, f.env, f.vars | {name: Val("one", prefix=prefix)})
     return gathered(inner, f, g, f"{prefix}pre")
 
 
@@ -473,7 +497,7 @@ def looks(body) -> bool:
 def over_items(v: Val, name: str, f: Frame) -> tuple[Frame, str]:
     """A frame with an iteration for each item of a sequence, and the column of the item's place."""
     at, what = fresh("i"), fresh("i")
-    rows = f.df.select("*", F.posexplode(v.col).alias(at, what)).withColumn("it", F.concat("it", F.array(at)))
+    rows = f.rows(lambda df: df.select("*", F.posexplode(v.col).alias(at, what))).withColumn("it", F.concat("it", F.array(at)))
     return Frame(rows, f.depth + 1, f.env, f.vars | {name: Val("n" if v.kind == "qn" else "s", F.col(what))}), at
 
 
@@ -498,7 +522,7 @@ def quantified(kind: str, binds: list, body: tuple, f: Frame) -> Val:
         return Val("b", F.exists(v.col, each) if kind == "some" else F.forall(v.col, each))
     prefix = fresh("i") + "_"
     items = node_set(v, f).select(*KEY, *[F.col(f"c_{c}").alias(f"{prefix}{c}") for c in NODE])
-    inner = f.df.join(items, KEY).withColumn("it", F.concat("it", F.array(F.col(f"{prefix}pre"))))
+    inner = f.base.join(items, KEY).withColumn("it", F.concat("it", F.array(F.col(f"{prefix}pre"))))
     g = Frame(inner, f.depth + 1, f.env, f.vars | {name: Val("one", prefix=prefix)})
     return counted(kind, to_bool(quantified(kind, rest, body, g) if rest else compile_(body, g), g), f, g)
 
@@ -526,7 +550,7 @@ def path(e: tuple, f: Frame) -> Val:
         if node.kind not in ("ns", "one", "attr"):
             raise XPathError("a path must begin with nodes")
     if start == "root":
-        roots = f.df.drop(*[f"c_{c}" for c in NODE]).join(f.env.table(F.col("kind") == "root"), F.col("doc_id") == F.col("n_doc")).drop("n_doc")
+        roots = f.base.drop(*[f"c_{c}" for c in NODE]).join(f.env.table(F.col("kind") == "root"), F.col("doc_id") == F.col("n_doc")).drop("n_doc")
         node = Val("ns", df=roots, depth=f.depth)
     if node.kind == "one" and len(steps) == 1:
         axis, test, preds = steps[0]
@@ -715,8 +739,8 @@ def equality(op: str, a: Val, b: Val, f: Frame) -> Column:
     other, name = fresh("o"), fresh("e")
     there = to_bool(b, f) if b.kind in ("one", "attr") else F.lit(True)
     value = to_num(b, f) if b.kind == "n" else to_str(b, f)
-    f.df = f.df.withColumn(other, value)
-    pairs = node_set(a, f).select(*KEY, "c_value").join(f.df.filter(there).select(*KEY, other), KEY)
+    mine = f.rows(lambda df: df.filter(there).select(*KEY, value.alias(other)))
+    pairs = node_set(a, f).select(*KEY, "c_value").join(mine, KEY)
     if b.kind == "n":
         hit = S.compare(op, S.parse_number(F.col("c_value")), F.col(other))
     else:
