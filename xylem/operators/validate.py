@@ -17,6 +17,8 @@ from xylem.plans.lift import KEY, NODE, Env, Frame, Val, compile_, frame, fresh,
 from xylem.plans.schema import Assertion, Rule, Schema, SchemaError
 from xylem.sources.shred import nodes as shred_nodes
 
+#: Joins that the tests of one plan may need, roughly.
+JOINS = 4
 ORDER = ["doc_id", "pattern_ix", "pre", "assert_ix"]
 FINDING = "doc_id {id}, pattern_ix int, pattern_id string, pre int, rule_ix int, assert_ix int, kind string, test string, location string, text string, id string, role string, flag string, see string, icon string, fpi string, diagnostics array<struct<id:string,text:string>>, properties array<struct<id:string,role:string,scheme:string,text:string>>"
 FIRED = "doc_id {id}, pattern_ix int, pattern_id string, pre int, rule_ix int, rule_id string, context string, role string, flag string, location string"
@@ -197,19 +199,24 @@ def fire(hits: DataFrame, ix: int, pattern_id: str | None, rx: int, rule: Rule,
     fired = hits.select("doc_id", F.lit(ix).alias("pattern_ix"), text(pattern_id).alias("pattern_id"), F.col("c_pre").alias("pre"), F.lit(rx).alias("rule_ix"), text(rule.id).alias("rule_id"), text(rule.context).alias("context"), text(rule.role).alias("role"), text(rule.flag).alias("flag"), F.col("c_loc").alias("location"))
     if not rule.assertions:
         return fired, []
-    f = scoped(hits, outer, rule, schema, env)
-    says = []
-    for a in rule.assertions:
-        ok = to_bool(compile_(schema.trees[a.test], f), f)
-        says.append(f.column(~ok if a.kind == "assert" else ok, "says"))
-    # all tests are columns of one plan; messages are built for nodes of which something is reported, each where it is
-    f.df = f.df.filter(functools.reduce(Column.__or__, says))
-    if f.attached < 2 and sum(k != "text" and not v.startswith("@") for a in rule.assertions for k, v in a.content) <= 3:
-        f.base = f.df  # few nodes are sought: only from where something is reported
-    rows = [F.when(x, finding(f, ix, pattern_id, rx, ax, rule, a, schema)) for ax, (a, x) in enumerate(zip(rule.assertions, says))]
-    keep = fresh("found")
-    f.df = f.df.withColumn(keep, F.array_compact(F.array(*rows)))
-    return fired, [f.df.select("doc_id", F.explode(keep).alias("_x")).select("doc_id", "_x.*")]
+    out, todo = [], list(enumerate(rule.assertions))
+    while todo:
+        # tests are columns of one plan, as many as a task's memory has room for the joins of; messages are built for nodes of
+        # which something is reported, each where it is
+        f, says, asked = scoped(hits, outer, rule, schema, env), [], []
+        while todo and (not says or f.attached < JOINS):
+            ax, a = todo.pop(0)
+            ok = to_bool(compile_(schema.trees[a.test], f), f)
+            says.append(f.column(~ok if a.kind == "assert" else ok, "says"))
+            asked.append((ax, a))
+        f.df = f.df.filter(functools.reduce(Column.__or__, says))
+        if f.attached < 2 and sum(k != "text" and not v.startswith("@") for _, a in asked for k, v in a.content) <= 3:
+            f.base = f.df  # few nodes are sought: only from where something is reported
+        rows = [F.when(x, finding(f, ix, pattern_id, rx, ax, rule, a, schema)) for (ax, a), x in zip(asked, says)]
+        keep = fresh("found")
+        f.df = f.df.withColumn(keep, F.array_compact(F.array(*rows)))
+        out.append(f.df.select("doc_id", F.explode(keep).alias("_x")).select("doc_id", "_x.*"))
+    return fired, out
 
 
 def finding(f: Frame, ix: int, pattern_id: str | None, rx: int, ax: int, rule: Rule, a: Assertion, schema: Schema) -> Column:

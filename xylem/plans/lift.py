@@ -74,11 +74,7 @@ class Frame:
             return use(self.df)
 
     def attach(self, other: DataFrame) -> None:
-        """Joins a column on. A task's memory serves the sorts and aggregates of a few such joins, so now and then a new stage
-        begins."""
         self.attached += 1
-        if self.attached % 5 == 0:
-            self.df = self.df.repartition("doc_id")
         self.df = self.df.join(other, KEY, "left")
 
     def column(self, col: Column, stem: str = "v") -> Column:
