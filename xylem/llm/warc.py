@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xylem.llm.util import keep, work_dir
+from xylem.llm.util import join_uneven, keep, work_dir
 
 CRLF = "\r\n"
 LEAST = 100
@@ -124,7 +124,15 @@ def digest(spark: SparkSession, pages: DataFrame) -> DataFrame:
     path = f"{work_dir(spark)}/archives"
     write_archives(pages, path)
     kind = pages.schema["page_id"].dataType.simpleString()
-    return read_archives(spark, path, payloads=False).select(F.col("page_id").cast(kind), F.col("length").alias("payload_bytes"), F.col("payload_sha256").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to_page").cast(kind).alias("refers_to"))
+    read = keep(read_archives(spark, path, payloads=False).select("type", "id", "page_id", "refers_to", "refers_to_page", "length", "payload_sha256"), "read")
+    # a revisit's length and digest are those of the response that it refers to, as it was read
+    own = read.filter("type = 'response'")
+    kept = own.groupBy(F.col("id").alias("_id")).agg(F.max("length").alias("_length"), F.max("payload_sha256").alias("_sha256"))
+    back = read.filter("type = 'revisit'").drop("length", "payload_sha256")
+    times = back.groupBy("refers_to").agg(F.count("*").alias("_n"))
+    kept = kept.join(times, F.col("_id") == F.col("refers_to")).select(F.col("_id").alias("refers_to"), F.col("_length").alias("length"), F.col("_sha256").alias("payload_sha256"), "_n")
+    both = own.unionByName(join_uneven(back, kept, ["refers_to"], "_n").drop("_n"))
+    return both.select(F.col("page_id").cast(kind), F.col("length").alias("payload_bytes"), F.col("payload_sha256").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to_page").cast(kind).alias("refers_to"))
 
 
 SQL = """
