@@ -149,10 +149,14 @@ def sample(docs: DataFrame, key: DataFrame, per_class: int, max_bytes: int) -> t
     texts, labels, weights = [], [], []
     for label in (0, 1):
         heads = rows.filter(F.col("_label") == label).select("_h", "_n").orderBy("_h").limit(per_class).collect()
-        some = int(np.searchsorted(np.cumsum([r[1] for r in heads]), max_bytes, "right"))
-        if not some:
+        fits, used = [], 0
+        for h, n in heads:  # a text that doesn't fit is passed over, but each label has one at least
+            if not fits or used + n <= max_bytes:
+                fits.append(h)
+                used += n
+        if not fits:
             continue
-        got = rows.filter((F.col("_label") == label) & (F.col("_h") <= heads[some - 1][0])).orderBy("_h").limit(some).select("_text").collect()
+        got = rows.filter((F.col("_label") == label) & F.col("_h").isin(fits)).orderBy("_h").limit(per_class).select("_text").collect()
         texts += [r[0].encode() for r in got]
         labels += [label] * len(got)
         weights += [total[label] / len(got)] * len(got)
