@@ -66,3 +66,14 @@ def test_shards_edges(spark):
     assert Counter(got.drop("shard", "slot").collect()) == Counter(df.drop("shard").collect())
     _check(got.collect(), 60)
     assert shards.shard(df.limit(0)).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    from xylem.llm import neardup, urls
+
+    df = spark.createDataFrame([(1, "a b c", "s", 5, 6, 7), (2, None, None, 5, 6, None), (3, "d e f", "s", 5, 6, 7)], "doc_id long, text string, source string, _rid int, _copies int, _RID1 int")
+    for got in (mixing.mix(df), neardup.drop_near_duplicates(df), shards.shard(df).drop("shard", "slot")):
+        assert got.columns == df.columns and set(got.collect()) <= set(df.collect())
+    pages = spark.createDataFrame([(1, "http://a.org/p", "mine", "too", "x")], "page_id long, url string, _block string, _maybe string, _rule string")
+    row = urls.url_filter(pages, spark.createDataFrame([("a.org/p",)], "canonical string")).first()
+    assert (row["_block"], row["_maybe"], row["_rule"], row["verdict"]) == ("mine", "too", "x", "block")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.util import numbered, sources, with_row_id
+from xylem.llm.util import keep, numbered, sources, with_row_id
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
 def n_words(text: str) -> F.Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
@@ -60,12 +60,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Nulls in any column, repeated rows and ties are rows like others; rows without words are taken at their source's rate,
     as they don't count. An empty table gives an empty one."""
-    rows = with_row_id(docs.select(*[F.col(f"`{c}`") for c in docs.columns]))
-    small = rows.select(F.col("_rid"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_src"), n_words(text_col).alias("_size"))
-    taken = copies(small, "_id", "_src", "_size", **how).filter("copies > 0").select("_rid", F.col("copies").alias("_copies"))
-    return rows.join(taken, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_rid", "_copies", "_copy")
+    rows, rid = with_row_id(docs)
+    small = rows.select(F.col(rid).alias("_rid"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_src"), n_words(text_col).alias("_size"))
+    small = keep(small, "sizes")  # the words are counted once
+    taken = copies(small, "_id", "_src", "_size", **how).filter("copies > 0").select(F.col("_rid").alias(rid), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(rid)
+    return rows.join(taken, rid).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    small = docs.select("doc_id", "source", n_words("text").alias("size"))
+    small = keep(docs.select("doc_id", "source", n_words("text").alias("size")), "sizes")  # the words are counted once
     return copies(small, "doc_id", "source", "size").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -352,9 +352,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The first row of each class of docs, with all columns; which row is first follows the order of the input."""
-    rows = with_row_id(docs)
-    stay = near_duplicates(rows, "_rid", text_col, **how).filter(F.col("_rid") == F.col("class_id")).select("_rid")
-    return rows.join(stay, "_rid", "left_semi").drop("_rid")
+    rows, rid = with_row_id(docs)
+    stay = near_duplicates(rows.select(F.col(rid).alias("_rid"), F.col(f"`{text_col}`").alias("_text")), "_rid", "_text", **how).filter(F.col("_rid") == F.col("class_id")).select(F.col("_rid").alias(rid))
+    return rows.join(stay, rid, "left_semi").drop(rid)
 
 
 def digest(docs: DataFrame) -> DataFrame:

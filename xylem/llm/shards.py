@@ -26,9 +26,9 @@ def shard(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     """docs with shard and slot (columns of these names are replaced).
 
     Null is a source of its own; repeated rows are placed one by one; an empty table gives an empty one."""
-    rows = with_row_id(docs.drop("shard", "slot"))
-    small = rows.select("_rid", F.col(f"`{source_col}`").alias("_src"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_text"))
-    return rows.join(place(small, "_src", ["_id", "_text"], shards, seed).select("_rid", "shard", "slot"), "_rid").drop("_rid")
+    rows, rid = with_row_id(docs.drop("shard", "slot"))
+    small = rows.select(F.col(rid).alias("_rid"), F.col(f"`{source_col}`").alias("_src"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_text"))
+    return rows.join(place(small, "_src", ["_id", "_text"], shards, seed).select(F.col("_rid").alias(rid), "shard", "slot"), rid).drop(rid)
 
 
 def digest(docs: DataFrame) -> DataFrame:

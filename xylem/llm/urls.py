@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.util import keep, mix64
+from xylem.llm.util import keep, mix64, unused
 
 #: (verdict, rule): the rule's host, then its path from the first slash on.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -101,12 +101,13 @@ def url_filter(pages: DataFrame, listed: DataFrame, url_col: str = "url", rules:
 
     url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
     base = pages.drop("host", "path", "rule", "canonical", "verdict")
-    judged = base.withColumns({"host": host(url), "path": path(url), "canonical": canonical(url)}).withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("_maybe", F.col("_rule").isNull() & maybe(F.xxhash64("canonical")))
-    on = listed.select(F.col("canonical").alias("_listed"))
-    hits = judged.filter("_maybe").join(on, F.col("canonical") == F.col("_listed"), "left").withColumn("_block", F.col("_listed").isNotNull()).drop("_listed")
-    rest = judged.filter("NOT _maybe").withColumn("_block", F.lit(False))
+    named, probe, block, other = (unused(base, x) for x in ("rule", "maybe", "block", "listed"))
+    judged = base.withColumns({"host": host(url), "path": path(url), "canonical": canonical(url)}).withColumn(named, longest_rule(F.col("host"), F.col("path"), rules)).withColumn(probe, F.col(named).isNull() & maybe(F.xxhash64("canonical")))
+    on = listed.select(F.col("canonical").alias(other))
+    hits = judged.filter(F.col(probe)).join(on, F.col("canonical") == F.col(other), "left").withColumn(block, F.col(other).isNotNull()).drop(other)
+    rest = judged.filter(~F.col(probe)).withColumn(block, F.lit(False))
     both = hits.unionByName(rest)
-    return both.select(*base.columns, "host", "path", F.col("_rule.rule").alias("rule"), "canonical", F.coalesce(F.col("_rule.verdict"), F.when(F.col("_block"), "block").otherwise("allow")).alias("verdict"))
+    return both.select(*[F.col(f"`{c}`") for c in base.columns], "host", "path", F.col(f"{named}.rule").alias("rule"), "canonical", F.coalesce(F.col(f"{named}.verdict"), F.when(F.col(block), "block").otherwise("allow")).alias("verdict"))
 
 
 def repeated(pages: DataFrame, url_col: str = "url") -> DataFrame:

@@ -175,9 +175,16 @@ def join_uneven(left: DataFrame, right: DataFrame, on: list[str], weight: str, p
     return left.join(hot, on).unionByName(rest.join(right.filter(F.col(weight) <= total / parts), on))
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder with _rid, a number that tells its rows apart."""
-    return keep(df.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df hasn't, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for i in range(len(taken) + 1) if (name := f"_{stem}{i or ''}") not in taken)
+
+
+def with_row_id(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written once to the shared folder with a number that tells its rows apart, and that column's name, which df hasn't."""
+    name = unused(df, "rid")
+    return keep(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def sources(rows: DataFrame, source: str, size: str, most: int) -> list[tuple[str | None, int, int]]:
