@@ -43,14 +43,15 @@ def test_near_duplicates(outs):
 def test_decontamination(spark, sf, outs):
     bench = sorted(r.text.encode() for r in table(spark, sf, "benchmark").collect())
     pats = decontam.index(bench)
+    patterns = [(pats.body[a : a + m].tobytes(), e) for kind in pats.kinds for a, m, e in zip(kind.start, kind.size, kind.edits)]
     gone = set(outs[2]) - set(outs[3])
     assert set(outs[3]) <= set(outs[2])
     fold = lambda r: decontam._fold(np.frombuffer((r.text or "").encode(), np.uint8)).tobytes()
-    hit = lambda r: any(p in fold(r) for p in pats.text)
+    hit = lambda r: any(p in fold(r) for p, _ in patterns)
     assert not any(hit(r) for r in outs[3])
     for r in gone:
         t = fold(r)
-        assert hit(r) or any(edit_distance_in(p, t) <= e for p, e in zip(pats.text, pats.edits))
+        assert hit(r) or any(edit_distance_in(p, t) <= e for p, e in patterns)
 
 
 def test_mixing(outs):
