@@ -31,6 +31,15 @@ def shown(context: str, *parts: str, head: str = "") -> str:
     return f'{head}<pattern><rule context="{context}"><report test="not(false()) and boolean(.)">{says(*parts)}</report></rule></pattern>'
 
 
+def sliced(context: str, values: tuple[str, ...], head: str = "", most: int = 3) -> str:
+    """shown() of a few values at a time, a pattern each: a task's memory has room for a few joins."""
+    return head + "".join(shown(context, *values[i : i + most]) for i in range(0, len(values), most))
+
+
+def sliced_sql(select: str, values: tuple[str, ...], table: str, most: int = 3) -> str:
+    return " UNION ALL ".join(f"{select}, {bars(*values[i : i + most])} AS text FROM {table}" for i in range(0, len(values), most))
+
+
 ORDER = "(SELECT *, CAST(o_totalprice AS DECIMAL(18, 2))::DOUBLE AS t, o_orderdate::DATE AS d, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders)"
 ROW = "SELECT o_orderkey AS doc_id, 'report' AS kind, '/order[1]' AS location, {} AS text FROM {}"
 
@@ -40,8 +49,8 @@ findings("order_functions", "order", shown("*[self::order]", *parts),
 
 NATIONS = "(SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY n_regionkey) AS many, coalesce(sum(c + s + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, coalesce(sum(c + s + 1) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::BIGINT AS after, sum(c) OVER (PARTITION BY n_regionkey)::BIGINT AS customers FROM (SELECT *, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS c, (SELECT max(c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS last_c, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS s, (SELECT max(s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS last_s FROM nation) WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey))"
 parts = ("count(ancestor-or-self::*)", "count(ancestor-or-self::node())", "count(descendant-or-self::*)", "count(self::nation)", "count(self::customer)", "count(following::nation)", "count(following::*)", "count(preceding::*)", "count(*)", "count(node())", "count(@*)", "count(following-sibling::*[1])", "name(..)", "count(/descendant::customer)", "(descendant::customer | descendant::supplier)[last()]/@key", "count(.. | .)", "preceding-sibling::nation[2]/@key", "count(preceding-sibling::nation)")
-findings("world_axes", "world", shown("nation", *parts),
-         "SELECT n_regionkey::BIGINT AS doc_id, 'report' AS kind, '/region[1]/nation[' || k || ']' AS location, " + bars("2", "3", "1 + c + s", "1", "0", "many - k", "after", "before", "c + s", "c + s", "2", "CASE WHEN k < many THEN 1 ELSE 0 END", "'region'", "customers", "coalesce(last_s, last_c)::VARCHAR", "2", "coalesce(lag(n_nationkey, 2) OVER (PARTITION BY n_regionkey ORDER BY k)::VARCHAR, '')", "k - 1") + f" AS text FROM {NATIONS}")
+findings("world_axes", "world", sliced("nation", parts),
+         sliced_sql("SELECT n_regionkey::BIGINT AS doc_id, 'report' AS kind, '/region[1]/nation[' || k || ']' AS location", ("2", "3", "1 + c + s", "1", "0", "many - k", "after", "before", "c + s", "c + s", "2", "CASE WHEN k < many THEN 1 ELSE 0 END", "'region'", "customers", "coalesce(last_s, last_c)::VARCHAR", "2", "coalesce(lag(n_nationkey, 2) OVER (PARTITION BY n_regionkey ORDER BY k)::VARCHAR, '')", "k - 1"), NATIONS))
 
 
 def item_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +62,12 @@ def item_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ("count(*)", "count(q:*)", "count(i:*)", "count(node())", "count(text())", "comment()", "processing-instruction('size')", "namespace-uri()", "namespace-uri(*[1])", "local-name(*[1])", "name(*[1])", "lang('en')", "lang('de')", "count(namespace::*)", "string(.)", "count(descendant-or-self::node())", "count(.//text())", "name(@xml:lang)", "string-length()")
-    s = parse_schema(schema(shown("i:item", *parts, head='<ns prefix="i" uri="urn:item"/><ns prefix="q" uri="urn:part"/>')))
+    s = parse_schema(schema(sliced("i:item", parts, head='<ns prefix="i" uri="urn:item"/><ns prefix="q" uri="urn:part"/>')))
     return validate_nodes(prepare(shred(item_docs(spark, sf_dir), namespaces=True)), s).findings.select("doc_id", "location", "text")
 
 
 QUERIES["item_nodes"] = item_nodes
-SQL["item_nodes"] = "SELECT p_partkey AS doc_id, '/*[local-name()=''item'' and namespace-uri()=''urn:item''][1]' AS location, " + bars("2", "2", "0", "5", "1", "p_brand", "p_size", "'urn:item'", "'urn:part'", "'name'", "'p:name'", "'true'", "'false'", "3", "p_name || p_type", "7", "2", "'xml:lang'", "length(p_name || p_type)") + " AS text FROM part"
+SQL["item_nodes"] = sliced_sql("SELECT p_partkey AS doc_id, '/*[local-name()=''item'' and namespace-uri()=''urn:item''][1]' AS location", ("2", "2", "0", "5", "1", "p_brand", "p_size", "'urn:item'", "'urn:part'", "'name'", "'p:name'", "'true'", "'false'", "3", "p_name || p_type", "7", "2", "'xml:lang'", "length(p_name || p_type)"), "part")
 
 SEQUENCES = f"(SELECT l_orderkey, count(*) AS n, min(l_quantity)::BIGINT AS low, max(l_quantity)::BIGINT AS high, floor(avg(l_quantity))::BIGINT AS mid, coalesce(string_agg(i::VARCHAR, ' ' ORDER BY i) FILTER (l_returnflag = 'R'), '') AS at_r, max(l_linenumber) FILTER (i = 1) AS first_n, bool_or(l_quantity > 49) AS big, bool_or(l_returnflag = 'A') AS a, string_agg(l_quantity::BIGINT::VARCHAR, '+' ORDER BY i) AS all_q FROM {LINES} GROUP BY l_orderkey)"
 FLAGS = f"(SELECT l_orderkey AS k, string_agg(l_returnflag, ',' ORDER BY lo) AS flags FROM (SELECT l_orderkey, l_returnflag, min(i) AS lo FROM {LINES} GROUP BY ALL) GROUP BY l_orderkey)"
