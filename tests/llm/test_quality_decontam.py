@@ -106,6 +106,20 @@ def test_repeated_grams_on_both_sides():
         assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_fewer_shared_grams_than_any_pattern_asks_for():
+    """Many hits of one q-gram in a short text on its own, as in a table's last rows, share fewer places than a pattern needs."""
+    rng = random.Random(1)
+    side = lambda: "".join(rng.choice("abcdefghij ") for _ in range(80))
+    item = side() + "-" * 8 + side()
+    pats = dc.index([item.encode()])
+    for n in range(8, 400):
+        text = np.frombuffer(b"x" + b"-" * n + b"y", np.uint8)
+        assert dc.regions(pats, text, np.array([0, len(text)])) == []
+    both = [b"x" + b"-" * 100 + b"y", item.encode()]
+    found = dc.regions(pats, np.frombuffer(b"".join(both), np.uint8), np.cumsum([0, *map(len, both)]))
+    assert {r for r, *_ in found} == {1}
+
+
 def test_every_excerpt_of_63_bytes_is_found():
     rng = random.Random(8)
     letters = lambda n: bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n))

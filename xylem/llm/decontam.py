@@ -229,6 +229,8 @@ def _bands(pats: Patterns, kind: Kind, text: np.ndarray, at: np.ndarray, where:
     shared = distinct(np.concatenate([group, group - 1]) * places + np.concatenate([place, place]))
     # enough different places of a pattern, in one band
     need, size = kind.least, int(kind.size.max())
+    if len(shared) < need:
+        return
     run = np.flatnonzero(shared[need - 1 :] - shared[: len(shared) - need + 1] <= size - Q)
     group, place = np.divmod(shared[run], places)
     first = np.searchsorted(kind.start[lo:hi], place - size + Q, "left") + lo
