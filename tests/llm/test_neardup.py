@@ -82,6 +82,26 @@ def test_dense_subtree_finds_pairs_once():
     assert np.unique(leaf, return_counts=True)[1].max() <= 40
 
 
+def test_crowded_codes_are_compared_once_and_in_parts(monkeypatch):
+    """Tries can't part many near copies of one text: all pairs are then compared, once, and never all held."""
+    rng = np.random.default_rng(4)
+    bits = np.tile(rng.integers(0, 2, 256, dtype=np.uint8), (9000, 1))
+    for row in bits:
+        row[rng.permutation(128)[:3]] ^= 1
+    code = np.column_stack([np.packbits(bits, axis=1).view(np.int64), np.zeros(9000, np.int64)])
+    work, together = [], nd.together
+
+    def counted(group, *rest):
+        work.append(int((np.unique(group, return_counts=True)[1].astype(np.int64) ** 2).sum()))
+        return together(group, *rest)
+
+    monkeypatch.setattr(nd, "together", counted)
+    forest = nd.Forest(np.array([np.arange(128)]), 0)
+    parts = [len(p[0]) for p in nd.links(np.zeros(9000, np.int64), np.full(9000, -1), code, forest, 28, 36, 0.99)]
+    assert sum(parts) == 9000 * 8999 // 2 and max(parts) < 1 << 20
+    assert sum(work) <= 9000**2
+
+
 def test_work_grows_less_than_the_table():
     work = []
     for count in (10**5, 10**6, 10**7, 10**9):

@@ -10,6 +10,7 @@ at the farthest accepted distance, `near`, then needs would cost more than the c
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -100,6 +101,9 @@ class Forest:
 #: Microseconds that moving a code to one more tree, and comparing it with one more code, roughly take; codes that subtrees
 #: should have at most on average, so that a task's share stays small; codes of a leaf within a task.
 MOVE, COMPARE, ROOM, LEAF = 7.0, 0.005, 4096, 256
+#: Groups of more codes are compared in tiles of so many comparisons; pairs that are
+#: gathered before they are filtered or counted.
+SMALL, _TILE, _PAIRS = 48, 1 << 16, 1 << 18
 
 
 def meeting(depth: int, near: int, bits: int = BITS) -> float:
@@ -136,25 +140,49 @@ def plan(count: int, near: int = 28, recall: float = 0.99, seed: int = 5) -> For
     return Forest(np.array([rng.permutation(BITS) for _ in range(int(tries(depth, near, recall)))]), depth)
 
 
-def together(group: np.ndarray, side: np.ndarray, x: np.ndarray, near: int, verify: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (i, j) of rows of one group; rows are sorted by group. side: rows of one side aren't compared with each
-    other unless it is -1."""
-    end = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
-    left = np.repeat(end, np.diff(np.append(0, end))) - np.arange(len(group))
-    a, one, two = np.arange(len(group)), [], []
+def together(group: np.ndarray, side: np.ndarray, x: np.ndarray, near: int, verify: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified pairs (i, j) of rows of one group, in parts; rows are sorted by group. side: rows of one side aren't compared
+    with each other unless it is -1. Large groups are compared in tiles that fit a cache, small ones all at once."""
+    x0, x1, x2, x3 = (np.ascontiguousarray(x[:, k]) for k in range(4))
+
+    def verified(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.bitwise_count(x2[i] ^ x2[j]).astype(np.int64) + np.bitwise_count(x3[i] ^ x3[j])
+        ok = (d <= verify) & ((side[i] != side[j]) | (side[i] < 0))
+        return i[ok], j[ok]
+
+    first = np.flatnonzero(np.append(True, np.diff(group) != 0)) if len(group) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(group)))
+    for lo, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        hi, a = lo + n, lo
+        while a < hi - 1:
+            b = min(hi, a + max(1, _TILE // (hi - a)))
+            d = np.bitwise_count(x0[a:b, None] ^ x0[a:hi]) + np.bitwise_count(x1[a:b, None] ^ x1[a:hi])
+            i, j = np.divmod(np.flatnonzero(d <= near), hi - a)
+            later = j > i
+            if later.any():
+                yield verified(i[later] + a, j[later] + a)
+            a = b
+    left = np.repeat(np.where(size > SMALL, 0, first + size), size) - np.arange(len(group))
+    a = np.arange(len(group))
     for k in range(1, int(left.max(initial=1))):
         a = a[left[a] > k]
         b = a + k
-        d = np.bitwise_count(x[a, 0] ^ x[b, 0]) + np.bitwise_count(x[a, 1] ^ x[b, 1])
-        hit = np.flatnonzero(d <= near)
+        hit = np.flatnonzero(np.bitwise_count(x0[a] ^ x0[b]) + np.bitwise_count(x1[a] ^ x1[b]) <= near)
         if len(hit):
-            i, j = a[hit], b[hit]
-            d = np.bitwise_count(x[i, 2] ^ x[j, 2]).astype(np.int64) + np.bitwise_count(x[i, 3] ^ x[j, 3])
-            ok = (d <= verify) & ((side[i] != side[j]) | (side[i] < 0))
-            one.append(i[ok])
-            two.append(j[ok])
-    i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (one, two))
-    return i, j
+            yield verified(a[hit], b[hit])
+
+
+def gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in parts of `least` or more, but for the last; no empty ones."""
+    held, n = [], 0
+    for part in itertools.chain(pairs, [None]):
+        if part is not None and len(part[0]):
+            held.append(part)
+            n += len(part[0])
+        if held and (part is None or n >= least):
+            i, j = (np.concatenate(v) for v in zip(*held))
+            held, n = [], 0
+            yield i, j
 
 
 def leaves_of(key: np.ndarray, depth: int, leaf: int) -> np.ndarray:
@@ -174,50 +202,65 @@ def leaves_of(key: np.ndarray, depth: int, leaf: int) -> np.ndarray:
     return out
 
 
-def dense(side: np.ndarray, x: np.ndarray, used: np.ndarray, near: int, verify: int, recall: float, seed: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs of one subtree's rows, by tries over the bits that aren't used; each pair once."""
+def tried(side: np.ndarray, x: np.ndarray, used: np.ndarray, near: int, verify: int, recall: float, seed: int, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified pairs of one subtree's rows, by tries over the bits that aren't used; each pair once, in parts.
+
+    Codes that crowd together share their leaves too: where the tries would compare more than all pairs are, all are compared."""
     free = np.flatnonzero(~used)
     _, depth, many = descent(len(x), near, recall, len(free))
     bits = np.unpackbits(np.ascontiguousarray(x[:, :2]).view(np.uint8).reshape(len(x), 16), axis=1)
-    rng, seen, one, two = np.random.default_rng(seed), [], [], []
+    rng = np.random.default_rng(seed)
+    groups = []
     for _ in range(int(many)):
         key = bits[:, rng.permutation(free)[:depth]].astype(np.int64) @ (np.int64(1) << np.arange(depth, dtype=np.int64)[::-1])
-        group = leaves_of(key, depth, leaf)
+        groups.append(leaves_of(key, depth, leaf))
+        if int((np.unique(groups[-1], return_counts=True)[1] ** 2).sum()) * many >= len(x) ** 2:
+            yield from together(np.zeros(len(x), np.int64), side, x, near, verify)
+            return
+    for t, group in enumerate(groups):
         order = np.argsort(group, kind="stable")
-        i, j = together(group[order], side[order], x[order], near, verify)
-        i, j = order[i], order[j]
-        new = np.ones(len(i), bool)
-        for other in seen:
-            new &= other[i] != other[j]
-        seen.append(group)
-        one.append(i[new])
-        two.append(j[new])
-    return np.concatenate(one), np.concatenate(two)
+        for i, j in gathered(together(group[order], side[order], x[order], near, verify), _PAIRS):
+            i, j = order[i], order[j]
+            for other in groups[:t]:
+                new = other[i] != other[j]
+                i, j = i[new], j[new]
+            yield i, j
 
 
-def links(key: np.ndarray, side: np.ndarray, code: np.ndarray, forest: Forest, near: int, verify: int, recall: float, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (i, j) of rows of equal keys; a pair that an earlier tree brings together is left to that tree.
+def dense(side: np.ndarray, x: np.ndarray, used: np.ndarray, near: int, verify: int, recall: float, seed: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """What tried() finds, at once."""
+    return next(gathered(tried(side, x, used, near, verify, recall, seed, leaf), 1 << 62), (np.zeros(0, np.int64),) * 2)
+
+
+def links(key: np.ndarray, side: np.ndarray, code: np.ndarray, forest: Forest, near: int, verify: int, recall: float, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified pairs (i, j) of rows of equal keys, in parts; a pair that an earlier tree brings together is left to that tree.
 
     Rows are sorted by key, which has the tree on top. Where a forest of its own saves comparisons, a key's rows have one."""
-    x, masks = code.view(np.uint64), forest.masks()
+    x, masks, tree = code.view(np.uint64), forest.masks(), key >> 48
     first = np.flatnonzero(np.append(True, np.diff(key) != 0)) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(key)))
     deep = np.array([n > 2 * leaf and descent(n, near, recall, BITS - forest.depth)[1] > 0 for n in size], bool)
-    plain = np.flatnonzero(np.repeat(~deep, size))
-    i, j = together(key[plain], side[plain], x[plain], near, verify)
-    one, two = [plain[i]], [plain[j]]
-    for a, n in zip(first[deep], size[deep]):
-        used = np.zeros(BITS, bool)
-        used[forest.order[key[a] >> 48][: forest.depth]] = True
-        i, j = dense(side[a : a + n], x[a : a + n], used, near, verify, recall, int(key[a] >> 48), leaf)
-        one.append(i + a)
-        two.append(j + a)
-    i, j, tree = np.concatenate(one), np.concatenate(two), key >> 48
-    fresh = np.ones(len(i), bool)
-    for t in range(int(tree.max(initial=0))):
-        far = ((x[i, 0] ^ x[j, 0]) & masks[t, 0]) | ((x[i, 1] ^ x[j, 1]) & masks[t, 1])
-        fresh &= (far != 0) | (tree[i] <= t)
-    return i[fresh], j[fresh]
+
+    def all_() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        plain = np.flatnonzero(np.repeat(~deep, size))
+        for i, j in together(key[plain], side[plain], x[plain], near, verify):
+            yield plain[i], plain[j]
+        for a, n in zip(first[deep], size[deep]):
+            used = np.zeros(BITS, bool)
+            used[forest.order[tree[a]][: forest.depth]] = True
+            for i, j in tried(side[a : a + n], x[a : a + n], used, near, verify, recall, int(tree[a]), leaf):
+                yield i + a, j + a
+
+    for i, j in gathered(all_(), _PAIRS):
+        one, two = x[i, 0] ^ x[j, 0], x[i, 1] ^ x[j, 1]
+        for t in range(int(tree[i].max(initial=0))):  # near pairs, which are met again and again, drop out at the first few
+            new = np.flatnonzero(((one & masks[t, 0]) | (two & masks[t, 1]) != 0) | (tree[i] <= t))
+            if len(new) < len(i):
+                i, j, one, two = i[new], j[new], one[new], two[new]
+            if not len(i):
+                break
+        if len(i):
+            yield i, j
 
 
 def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -329,12 +372,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         block = np.append(0, np.cumsum((part[1:, :3] != part[:-1, :3]).any(axis=1)))
         key = (part[:, 0] >> 48 << 48) | block  # one key a block, the tree on top
         code = np.ascontiguousarray(part[:, 5:10])
-        i, j = links(key, part[:, 3], code, forest, near, verify, recall, leaf)
-        if not len(i):
-            return
-        ids, label = node_ids(code), spanning(i, j, len(part))
-        degree = np.bincount(i, part[j, 4], len(part)) + np.bincount(j, part[i, 4], len(part))
+        label, degree = np.arange(len(part)), np.zeros(len(part))
+        pairs = links(key, part[:, 3], code, forest, near, verify, recall, leaf)
+        for i, j in gathered(pairs, _PAIRS):  # counted and dropped
+            degree += np.bincount(i, part[j, 4], len(part)) + np.bincount(j, part[i, 4], len(part))
+            label = spanning(label[i], label[j], len(part))[label]
         some = np.flatnonzero(degree)
+        if not len(some):
+            return
+        ids = node_ids(code)
         yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(degree[some].astype(np.int64))], ["u", "v", "n"])
 
     keys = ["key", "x", "y"]
