@@ -43,6 +43,23 @@ def test_inner_products_of_unequal_lengths_in_blocks(spark):
     check(ann.search(df, base_rows=150, query_rows=10).collect(), rows, brute(rows, 20, 20), 0.9)
 
 
+def test_products_where_probing_costs_more_and_probing_where_it_does_not():
+    rng = np.random.default_rng(5)
+    even = rng.normal(size=(6000, 32))
+    apart = rng.normal(size=(250, 256))[rng.integers(0, 250, 20_000)] + 0.05 * rng.normal(size=(20_000, 256))
+    apart /= np.linalg.norm(apart, axis=1)[:, None]
+    for x, probing, least in ((even, False, 1.0), (apart, True, 0.9)):
+        index, ids = ann.Index(ann.learn(x[:2000], float((x * x).sum(axis=1).max())), np.arange(len(x)), x), np.arange(150)
+        query, row, score = index.search(x[:150], ids, 20, 1.28)
+        assert (index.radius >= 0) == probing and index.met >= probing * 0.8 * len(ids)
+        assert (np.bincount(query) == 20).all() and (row != ids[query]).all()
+        products = x[:150] @ x.T
+        products[ids, ids] = -np.inf
+        best = np.argsort(-products, axis=1)[:, :20]
+        assert sum(len(set(best[q]) & set(row[query == q])) for q in ids) >= least * 20 * len(ids)
+        assert np.allclose(score, products[query, row])
+
+
 def test_pigeonhole_finds_every_code(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16))

@@ -3,12 +3,15 @@
 Vectors are given one more component that makes their lengths equal, which turns the largest inner product into the smallest
 angle, and are turned by rotations learned from a sample (iterative quantisation). The signs are binary codes, cut into
 substrings, each with an index of its own. Codes within a Hamming radius of m * r + a agree with the query within r bits in one
-of the first a + 1 substrings, or within r - 1 in another: probing these finds them all. The radius grows until a vector as
-near as the k-th best found would lie within it with probability `recall`; what is found is reranked by the vectors.
+of the first a + 1 substrings, or within r - 1 in another: probing these finds them all. What is
+found is reranked by the vectors; it suffices if a vector as near as the k-th best found lies within the radius with probability
+`recall`. Queries for which that takes a radius that costs more to probe than the products with the whole block, as all do where
+vectors have no clusters, have those products instead, many queries at once; these miss nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, FloatType
 
 from xylem.llm.util import keep
 
 SUB = 16
+#: Rows of a block that bound its k-th best; queries and rows of one product; what probing costs besides, comparing an occurring
+#: value and visiting a row, in products of 64 components; and fetching a row for the rerank, in products of its own components.
+HEAD, QUERIES, ROWS, CALL, VALUE, VISIT, FETCH = 4096, 64, 4096, 25_000, 0.25, 4.0, 50.0
 
 
 @dataclass(frozen=True)
@@ -71,6 +77,7 @@ class Index:
             value, first = np.unique(code[o, s], return_index=True)
             self.values.append(value)
             self.first.append(np.append(first, len(o)))
+        self.radius, self.tried, self.met = self.affordable(), 0, 0
 
     def within(self, code: np.ndarray, apart: list[np.ndarray], radius: int) -> np.ndarray:
         """Rows whose codes lie within the radius, by the pigeonhole principle: with radius = m * r + a, some substring among
@@ -88,39 +95,77 @@ class Index:
         far = np.bitwise_count(self.wide[rows] ^ np.ascontiguousarray(code).view(np.uint64)).sum(axis=1, dtype=np.int64)
         return rows[far <= radius]
 
-    def search(self, query: np.ndarray, own: int, k: int, z: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and inner products: those of every code within the radius at which the k-th best found is met, by z deviations."""
+    def affordable(self) -> int:
+        """The largest radius that costs half as much to probe as the products with all rows do, for codes spread evenly; or -1."""
+        m, rows = len(self.order), len(self.ids)
+        ball = np.cumsum([0, *(math.comb(SUB, d) for d in range(SUB + 1))]) / 2**SUB
+        radius = np.arange(SUB * m + 1)[:, None]
+        visited = ball[np.minimum(radius // m - (np.arange(m) > radius % m), SUB) + 1].sum(axis=1)
+        within = np.cumsum([math.comb(SUB * m, d) / 2 ** (SUB * m) for d in range(SUB * m + 1)])
+        cost = (CALL + VALUE * sum(map(len, self.values)) + VISIT * visited * rows) * 64 / self.vectors.shape[1] + FETCH * within * rows
+        return int((2 * cost < rows).sum()) - 1
+
+    def probed(self, query: np.ndarray, own: int, code: np.ndarray, length: float, k: int, z: float) -> np.ndarray | None:
+        """Rows within the affordable radius, if the k-th best of them is met there by z deviations."""
         bits = self.coder.bits
-        lifted = self.coder.lift(query[None])
-        code = self.coder.codes(lifted)[0]
-        apart = [np.bitwise_count(v ^ code[s]) for s, v in enumerate(self.values)]
-        length = np.sqrt((lifted * lifted).sum() * self.coder.top)
-        radius = bits * 5 // 16
-        while True:
-            rows = self.within(code, apart, radius)
-            rows = rows[self.ids[rows] != own]
-            products = self.vectors[rows] @ query
-            want = bits
-            if len(rows) >= k:
-                best = -np.partition(-products, k - 1)[k - 1]
-                p = np.arccos(np.clip(best / max(length, 1e-300), -1, 1)) / np.pi
-                want = min(bits, int(np.ceil(bits * p + z * np.sqrt(bits * p * (1 - p)))))
-            if radius >= want:
-                return rows, products
-            radius = want if len(rows) >= k else min(bits, radius + bits // 16)
+        rows = self.within(code, [np.bitwise_count(v ^ code[s]) for s, v in enumerate(self.values)], self.radius)
+        rows = rows[self.ids[rows] != own]
+        if len(rows) < k:
+            return None
+        best = np.partition(self.vectors[rows] @ query, -k)[-k]
+        p = np.arccos(np.clip(best / max(length, 1e-300), -1, 1)) / np.pi
+        return rows if np.ceil(bits * p + z * np.sqrt(bits * p * (1 - p))) <= self.radius else None
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, z: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, inner product) of the k best rows found for each query but those of its own id, best first."""
+        found = [self._some(queries[a : a + QUERIES], own[a : a + QUERIES], k, z, a) for a in range(0, len(queries), QUERIES)]
+        return tuple(np.concatenate(v) for v in zip(*found))  # type: ignore[return-value]
+
+    def _some(self, queries: np.ndarray, own: np.ndarray, k: int, z: float, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lifted = self.coder.lift(queries)
+        length = np.sqrt((lifted * lifted).sum(axis=1) * self.coder.top)
+        one, two, rest = [], [], np.ones(len(queries), bool)
+        if self.radius >= 0 and 2 * self.met >= self.tried:
+            for q, code in enumerate(self.coder.codes(lifted)):
+                if (rows := self.probed(queries[q], own[q], code, length[q], k, z)) is not None:
+                    one.append(np.full(len(rows), q))
+                    two.append(rows)
+                    rest[q] = False
+            self.tried += len(queries)
+            self.met += int((~rest).sum())
+        left = np.flatnonzero(rest)
+        floor = np.full(len(left), -np.inf)
+        if len(left) and min(HEAD, len(self.ids)) > k:
+            head = queries[left] @ self.vectors[:HEAD].T
+            head[own[left, None] == self.ids[None, :HEAD]] = -np.inf
+            floor = np.partition(head, -k, axis=1)[:, -k] - 1e-15 * queries.shape[1] * length[left]  # sums round in other ways elsewhere
+        for a in range(0, len(self.ids) if len(left) else 0, ROWS):
+            q, rows = np.nonzero(queries[left] @ self.vectors[a : a + ROWS].T >= floor[:, None])
+            one.append(left[q])
+            two.append(rows + a)
+        q, rows = np.concatenate(one), np.concatenate(two)
+        other = self.ids[rows] != own[q]
+        q, rows = q[other], rows[other]
+        # row by row, as a matrix product's order of additions depends on how many rows it is given
+        product = np.einsum("ij,ij->i", self.vectors[rows], queries[q])
+        order = np.lexsort((self.ids[rows], -product, q))
+        q, rows, product = q[order], rows[order], product[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+        return q[best] + at, rows[best], product[best]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """_id and _v (doubles) of the rows that take part: vectors without null or non-finite components that aren't zero."""
+    """_id and _v (floats if they are given as such, else doubles) of the rows that take part: vectors without null or non-finite components that aren't zero."""
     if not isinstance(vectors.schema[vector_col].dataType, ArrayType):
         raise TypeError(f"{vector_col} is no array")
+    kind = "array<float>" if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else "array<double>"
     v = F.col("_v")
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("_v"))
+    rows = vectors.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{vector_col}`").cast(kind).alias("_v"))
     return rows.filter(F.col("_id").isNotNull() & good)
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, bits: int = 128, sample_rows: int = 4096, recall: float = 0.9, base_rows: int = 16_384, query_rows: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, bits: int = 128, sample_rows: int = 4096, recall: float = 0.9, base_rows: int = 49_152, query_rows: int = 16_384) -> DataFrame:
     """query_id, rank (from 1), the id and score (inner product in double precision) of each query's k nearest rows.
 
     Queries: rows whose id is divisible by `every`; candidates: all rows but those with the query's own id. Vectors that are
@@ -131,7 +176,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = keep(usable(vectors, id_col, vector_col), "vectors")
-    facts = rows.agg(F.max(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)), F.count("*"), F.min(F.size("_v")), F.max(F.size("_v"))).first()
+    facts = rows.agg(F.max(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), F.count("*"), F.min(F.size("_v")), F.max(F.size("_v"))).first()
     schema = f"query_id {kind}, {id_col} {kind}, score double"
     if not facts[1]:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
@@ -148,18 +193,15 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     z = _normal(recall)
 
     def meet(one: pa.Table, two: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        own, other, score = (np.zeros(0) for _ in range(3))
         if one.num_rows and two.num_rows:
-            read = lambda t: (t.column("_id").to_numpy(), np.vstack(t.column("_v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)))
-            index = Index(held.value, *read(one))
-            for own, query in zip(*read(two)):
-                at, product = index.search(query, own, k, z)
-                best = np.lexsort((index.ids[at], -product))[:k]
-                # again one by one, as the rerank's order of additions depends on how many rows it is given
-                out += [(own, index.ids[at[b]], float(np.dot(index.vectors[at[b]], query))) for b in best]
-        cols = list(zip(*out)) or [[], [], []]
+            read = lambda t: (t.column("_id").to_numpy(), t.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1))
+            index, (ids, queries) = Index(held.value, *read(one)), read(two)
+            ids, queries = ids[by := np.argsort(ids)], queries[by]  # so that reruns try probing for the same ones
+            query, row, score = index.search(queries, ids, k, z)
+            own, other = ids[query], index.ids[row]
         types = [one.schema.field("_id").type] * 2 + [pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=["query_id", id_col, "score"])
+        return pa.table([pa.array(c).cast(t) for c, t in zip((own, other, score), types)], names=["query_id", id_col, "score"])
 
     found = left.select("base", "part", "_id", "_v").groupBy("base", "part").cogroup(right.select("base", "part", "_id", "_v").groupBy("base", "part")).applyInArrow(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
