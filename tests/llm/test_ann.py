@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 from xylem.llm import ann
@@ -60,6 +61,17 @@ def test_products_where_probing_costs_more_and_probing_where_it_does_not():
         assert np.allclose(score, products[query, row])
 
 
+def test_many_equal_vectors_are_not_gathered_at_once():
+    x = np.ones((40_000, 64))
+    index = ann.Index(ann.learn(x[:500], 64.0), np.arange(len(x)), x)
+    tracemalloc.start()
+    query, row, _ = index.search(x[:64], np.arange(64), 20, 1.28)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+    assert all(row[query == q].tolist() == [r for r in range(21) if r != q][:20] for q in range(64))
+
+
 def test_pigeonhole_finds_every_code(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16))

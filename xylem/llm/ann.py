@@ -146,8 +146,9 @@ class Index:
         q, rows = np.concatenate(one), np.concatenate(two)
         other = self.ids[rows] != own[q]
         q, rows = q[other], rows[other]
+        part = max(1, (1 << 22) // queries.shape[1])  # many vectors may be equally near
         # row by row, as a matrix product's order of additions depends on how many rows it is given
-        product = np.einsum("ij,ij->i", self.vectors[rows], queries[q])
+        product = np.concatenate([np.einsum("ij,ij->i", self.vectors[rows[a : a + part]], queries[q[a : a + part]]) for a in range(0, max(1, len(q)), part)])
         order = np.lexsort((self.ids[rows], -product, q))
         q, rows, product = q[order], rows[order], product[order]
         best = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
