@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xylem.operators.render import from_svrl, to_json, to_svrl, to_text
-from xylem.operators.validate import prepare, validate_nodes
+from xylem.operators.validate import validate
 from xylem.plans.lint import lint
 from xylem.plans.schema import MemoryResolver, parse_schema
-from xylem.queries import AT, LINES, QUERIES, SQL, findings, rules, schema
+from xylem.queries import AT, LINES, QUERIES, SQL, docs_of, findings, rules, schema
 from xylem.sources import tables
 from xylem.sources.shred import nodes as shred
 
@@ -63,7 +63,7 @@ def item_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def item_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ("count(*)", "count(q:*)", "count(i:*)", "count(node())", "count(text())", "comment()", "processing-instruction('size')", "namespace-uri()", "namespace-uri(*[1])", "local-name(*[1])", "name(*[1])", "lang('en')", "lang('de')", "count(namespace::*)", "string(.)", "count(descendant-or-self::node())", "count(.//text())", "name(@xml:lang)", "string-length()")
     s = parse_schema(schema(sliced("i:item", parts, head='<ns prefix="i" uri="urn:item"/><ns prefix="q" uri="urn:part"/>')))
-    return validate_nodes(prepare(shred(item_docs(spark, sf_dir), namespaces=True)), s).findings.select("doc_id", "location", "text")
+    return validate(item_docs(spark, sf_dir), s).findings.select("doc_id", "location", "text")
 
 
 QUERIES["item_nodes"] = item_nodes
@@ -147,10 +147,8 @@ TEMPLATE = '<phase id="both"><active pattern="inc"/><active pattern="most"/></ph
 
 
 def templates_and_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from xylem.queries import nodes_of
-
     s = parse_schema(schema(TEMPLATE), MemoryResolver(LIBRARY))
-    return validate_nodes(nodes_of(spark, sf_dir, "order"), s, "both").findings.select("doc_id", "pattern_id", "location", "text")
+    return validate(docs_of(spark, sf_dir, "order"), s, "both").findings.select("doc_id", "pattern_id", "location", "text")
 
 
 def lints(spark: SparkSession, sf_dir: str) -> DataFrame:
