@@ -3,7 +3,7 @@
 import pytest
 
 from tests.test_engine import CASES, rule, schema
-from xylem import queries
+from xylem import coverage, queries
 from xylem.operators.validate import prepare, validate, validate_nodes
 from xylem.plans.direct import Elsewhere
 from xylem.plans.schema import parse_schema
@@ -68,6 +68,10 @@ def test_nothing_is_moved(docs):
         assert moved(df) == []
 
 
+def test_parts_are_spread(spark, sf):
+    assert "Exchange hashpartitioning" in plan(coverage.item_docs(spark, sf))
+
+
 def test_patterns_that_python_reads_otherwise_take_the_plan(spark, docs):
     s = parse_schema(HEAD + rule("o", "<report test=\"matches(@date, '^\\p{Nd}+-0')\">yes</report>") + "</schema>")
     r = validate(docs, s)

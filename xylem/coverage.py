@@ -54,10 +54,10 @@ findings("world_axes", "world", sliced("nation", parts),
 
 
 def item_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document a part, with namespaces, a comment and a processing instruction."""
+    """One document a part, with namespaces, a comment and a processing instruction; spread, as few files hold many parts."""
     c, e = F.col, tables.escape
     xml = F.concat(F.lit('<item xmlns="urn:item" xmlns:p="urn:part" xml:lang="en-US" key="'), c("p_partkey").cast("string"), F.lit('"><!--'), c("p_brand"), F.lit("--><?size "), c("p_size").cast("string"), F.lit("?><p:name>"), e(c("p_name")), F.lit("</p:name>"), e(c("p_type")), F.lit("<p:kind/></item>"))
-    return tables.read(spark, sf_dir, "part").select(c("p_partkey").alias("doc_id"), xml.alias("xml"))
+    return tables.read(spark, sf_dir, "part").repartition("p_partkey").select(c("p_partkey").alias("doc_id"), xml.alias("xml"))
 
 
 def item_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
