@@ -17,8 +17,8 @@ def escape(c: Column) -> Column:
 
 
 def plain(c: str, digits: int = 2) -> Column:
-    """Doubles in plain decimal form, without a negative zero."""
-    return F.regexp_replace((F.col(c) + F.lit(0.0)).cast(f"decimal(18,{digits})").cast("string"), r"^-(0(\.0+)?)$", "$1")
+    """Doubles in plain decimal form; decimals have no negative zero."""
+    return F.col(c).cast(f"decimal(18,{digits})").cast("string")
 
 
 def tag(name: str, attrs: dict[str, Column], body: Column | None = None) -> Column:
@@ -29,8 +29,8 @@ def tag(name: str, attrs: dict[str, Column], body: Column | None = None) -> Colu
 
 
 def nested(df: DataFrame, key: str, order: list[str], element: Column, name: str) -> DataFrame:
-    """key and the elements of its rows, concatenated in a total order."""
-    return df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, element.alias("_x")))), lambda r: r["_x"]), "").alias(name))
+    """key and the elements of its rows, concatenated in a total order (sort_array compares without an expression a pair)."""
+    return df.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.struct(*order, element.alias("_x"))))["_x"], "").alias(name))
 
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
