@@ -80,3 +80,19 @@ def test_patterns_that_python_reads_otherwise_take_the_plan(spark, docs):
 
     with pytest.raises(Elsewhere):
         regex([("str", ""), ("str", "\\w+")], 1, 2)
+
+
+def test_a_read_document_is_freed_at_once():
+    import gc
+
+    from xylem.sources.tree import Node
+
+    gc.collect()
+    gc.disable()
+    try:
+        tree = read(b"<o>" + b"<l n='1'>x</l>" * 500 + b"</o>")
+        tree.drop()
+        del tree
+        assert sum(isinstance(x, Node) for x in gc.get_objects()) == 0
+    finally:
+        gc.enable()
